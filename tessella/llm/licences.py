@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 
+#: Notices in one literal lookup; more of them take several.
+BLOCK = 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line whose first letters or digits are a copyright notice.
 _COPYRIGHT = r"(^|\n)[^a-z0-9\n©]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
@@ -83,9 +85,14 @@ def scanned(docs: DataFrame, licences: DataFrame) -> DataFrame:
     texts = F.broadcast(forms.where("not notice").select(F.col("digest").alias("text_sha256"), "licence"))  # the lookup table's own size
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.translate(x, "LICENS", "licens").rlike("licen[cs]e"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), F.array_distinct(F.transform(lines, lambda x: F.sha2(canonical(x), 256))).alias("__lines"))
-    by_digest = F.broadcast(forms.where("notice").agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("__known")))
-    found = F.filter(F.transform("__lines", lambda d: F.try_element_at("__known", d)), lambda x: x.isNotNull())
-    return rows.join(by_digest, F.lit(True), "left").join(texts, "text_sha256", "left").select("doc_id", "text_sha256", "licence", F.array_join(F.sort_array(F.array_distinct(found)), ",").alias("notices"))
+    notices = forms.where("notice").select("digest", "licence").orderBy("digest").collect()  # the lookup table's own size
+    blocks = [notices[i : i + BLOCK] for i in range(0, len(notices), BLOCK)]
+    text = lambda xs: F.split(F.lit(",".join(xs)), ",")  # noqa: E731  folded into a literal
+    found = F.array().cast("array<string>")
+    for block in blocks:
+        lookup = F.map_from_arrays(text([r.digest for r in block]), text([r.licence for r in block]))
+        found = F.concat(found, F.filter(F.transform("__lines", lambda d, m=lookup: F.try_element_at(m, d)), lambda x: x.isNotNull()))
+    return rows.join(texts, "text_sha256", "left").select("doc_id", "text_sha256", "licence", F.array_join(F.sort_array(F.array_distinct(found)), ",").alias("notices"))
 
 
 def op8_canonical_digest_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
