@@ -73,6 +73,10 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(whole + [(name, n.format(x), True) for name, xs in NAMES.items() for x in xs for n in _NOTICES], "licence string, text string, notice boolean")
 
 
+def _looked_up(lookup: Column) -> Column:
+    return F.filter(F.transform("__lines", lambda d: F.try_element_at(lookup, d)), lambda x: x.isNotNull())
+
+
 def scanned(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text_sha256 (of the canonical text), licence (null if the whole text is none that is
     known) and notices (licences whose notice is a line of the text, sorted, comma-joined; '' without any).
@@ -91,7 +95,7 @@ def scanned(docs: DataFrame, licences: DataFrame) -> DataFrame:
     found = F.array().cast("array<string>")
     for block in blocks:
         lookup = F.map_from_arrays(text([r.digest for r in block]), text([r.licence for r in block]))
-        found = F.concat(found, F.filter(F.transform("__lines", lambda d, m=lookup: F.try_element_at(m, d)), lambda x: x.isNotNull()))
+        found = F.concat(found, _looked_up(lookup))
     return rows.join(texts, "text_sha256", "left").select("doc_id", "text_sha256", "licence", F.array_join(F.sort_array(F.array_distinct(found)), ",").alias("notices"))
 
 
