@@ -133,7 +133,9 @@ _PARTNERS = "unit long, member long, partners array<long>"
 
 
 def _prune(batches: Iterator[pa.RecordBatch], least: list[int], bands: int, total: int, step: int) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, band, value, left, right, member, bands, bits), sorted by unit -> members with the partners that stay."""
+    """Rows (unit, band, value, left, right, member, bands, bits), sorted by unit -> members of the pairs that stay, each
+    once, with those partners that it is to be compared with.
+    """
     for rows, edges in _groups(batches, "unit"):
         n = rows.num_rows
         values = rows.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, bands)
@@ -187,7 +189,10 @@ def _prune(batches: Iterator[pa.RecordBatch], least: list[int], bands: int, tota
         x, y, unit = x[order], y[order], unit[order]
         begins = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]))))
         offsets = np.concatenate((begins, [len(x)])).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(unit[begins]), pa.array(member[x[begins]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(member[y]))], names=["unit", "member", "partners"])
+        only = np.setdiff1d(y, x)  # those that are partners and ask for none
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, np.full(len(only), offsets[-1], np.int32)))), pa.array(member[y]))
+        every = np.concatenate((x[begins], only))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.column("unit").to_numpy()[every]), pa.array(member[every]), lists], names=["unit", "member", "partners"])
 
 
 _LINKS = "member long, links long, other long"
@@ -284,10 +289,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     pruned = stored(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance), bands=BANDS, total=total, step=STEP), _PARTNERS), "pairs")
 
     # every member of a unit with a pair that is left, once, with its text
-    asked = pruned.groupBy("unit", "member").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    answering = pruned.select("unit", F.explode("partners").alias("member")).distinct().join(asked.select("unit", "member"), ["unit", "member"], "left_anti")
-    roles = asked.unionByName(answering.withColumn("partners", F.lit(None).cast("array<long>")))
-    sources = roles.join(texts.select("member", "copies"), "member")
+    sources = pruned.join(texts.select("member", "copies"), "member")
     with_text = sources.join(docs.withColumnRenamed("doc_id", "member"), "member")
     verified = with_text.select("unit", "member", "copies", "text", "partners").repartition("unit").sortWithinPartitions("unit")
     links = stored(verified.mapInArrow(partial(_verify, width=width, threshold=threshold), _LINKS), "links")
