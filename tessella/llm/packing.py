@@ -49,17 +49,16 @@ def cut(length: int, capacity: int = CAPACITY, slack: float = SLACK, finest: int
     return pieces
 
 
-def _fill(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str], bytes]], capacity: int, slack: float, finest: int) -> Iterator[pa.RecordBatch]:
+def _fill(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[list[str]], list[bytes]]], capacity: int, slack: float, finest: int) -> Iterator[pa.RecordBatch]:
     ids_of = encode()
     worker = TaskContext.get().partitionId() if TaskContext.get() else 0
     waiting: dict[int, list[tuple]] = {}
     rows: list[tuple] = []
     bins, end = 0, (0).to_bytes(4, "little")
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = ids_of(text) + end
-            total, start = len(ids) // 4, 0
-            view = memoryview(ids)
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
+            view = memoryview(b"".join((ids, end)))
+            total, start = len(view) // 4, 0
             for length in cut(total, capacity, slack, finest):
                 piece = (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total)
                 k = class_of(length, capacity, finest)
@@ -111,10 +110,10 @@ def _best_fit(pieces, capacity: int):
     return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]], capacity: int = CAPACITY, slack: float = SLACK, finest: int = FINEST) -> DataFrame:
+def pack(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], capacity: int = CAPACITY, slack: float = SLACK, finest: int = FINEST) -> DataFrame:
     """Pieces of all documents (doc_id, text) with their places in sequences of at most capacity ids.
 
-    encode: gives, in a worker, a function from a text to its ids as little-endian unsigned 32-bit integers.
+    encode: gives, in a worker, a function from texts to their ids as little-endian unsigned 32-bit integers.
     Every document gets id 0 at its end, so a null or empty text is one id and no document is without pieces.
     Repeated rows are packed as often as they occur; a null doc_id stays null. An empty table gives no rows.
     """
@@ -150,8 +149,8 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]], capacity
     return whole.unionByName(joined).unionByName(last)
 
 
-def _encode(path: str) -> Callable[[str], bytes]:
-    return encoder(path).encode
+def _encode(path: str) -> Callable[[list[str]], list[bytes]]:
+    return encoder(path).encode_many
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

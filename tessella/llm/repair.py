@@ -32,8 +32,10 @@ _FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_doc", p
 _SLOTS = 20
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
+    mixed ^= mixed >> np.uint32(15)
+    return ((mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _SLOTS)).astype(np.intp)
 
 
 def compress(ids: np.ndarray, end: int = 0, first: int = 1 << 16, limit: int = 1 << 16, pairs: int = PAIRS, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,30 +43,35 @@ def compress(ids: np.ndarray, end: int = 0, first: int = 1 << 16, limit: int = 1
 
     In a round the most frequent pairs get rules; where two of them overlap the left one is replaced. The id end is in no rule.
     """
-    text = ids.astype(np.int64)
+    text = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     for _ in range(rounds):
         made = sum(map(len, rules))
         if len(text) < 2 or made >= limit:
             break
-        keys = (text[:-1] << 32) | text[1:]
-        free = (text[:-1] != end) & (text[1:] != end)
-        slots = _slot(keys)
-        crowd = np.bincount(slots[free], minlength=1 << _SLOTS)
-        likely = np.flatnonzero(free & (crowd[slots] >= least))
-        values, counts = np.unique(keys[likely], return_counts=True)
+        slots = _slot(text[:-1], text[1:])
+        busy = np.bincount(slots, minlength=1 << _SLOTS) >= least
+        likely = np.flatnonzero(busy[slots])
+        left, right = text[likely], text[likely + 1]
+        free = (left != end) & (right != end)
+        likely, keys = likely[free], (left[free].astype(np.int64) << 32) | right[free]
+        values, counts = np.unique(keys, return_counts=True)
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
         chosen = good[np.lexsort((values[good], -counts[good]))][: min(pairs, limit - made)]
         chosen = np.sort(values[chosen])
-        at = np.searchsorted(chosen, keys[likely])
-        hit = chosen[np.minimum(at, len(chosen) - 1)] == keys[likely]
-        places, which = likely[hit], at[hit]
+        marked = np.zeros(1 << _SLOTS, bool)
+        marked[_slot((chosen >> 32).astype(np.uint32), (chosen & 0xFFFFFFFF).astype(np.uint32))] = True
+        near = np.flatnonzero(marked[slots[likely]])
+        places, keys = likely[near], keys[near]
+        at = np.searchsorted(chosen, keys)
+        hit = chosen[np.minimum(at, len(chosen) - 1)] == keys
+        places, which = places[hit], at[hit]
         run = np.concatenate(([True], np.diff(places) > 1))
         begin = places[np.flatnonzero(run)[np.cumsum(run) - 1]]
-        left = (places - begin) % 2 == 0
-        places, which = places[left], which[left]
+        even = (places - begin) % 2 == 0
+        places, which = places[even], which[even]
         text[places] = first + made + which
         stay = np.ones(len(text), bool)
         stay[places + 1] = False
@@ -74,7 +81,7 @@ def compress(ids: np.ndarray, end: int = 0, first: int = 1 << 16, limit: int = 1
         size = lambda s: np.where(s >= first, known[np.maximum(s - first, 0)], 1)
         lengths = np.concatenate((lengths, size(new[:, 0]) + size(new[:, 1])))
         rules.append(new)
-    return text, np.concatenate(rules), lengths
+    return text.astype(np.int64), np.concatenate(rules), lengths
 
 
 def write_shard(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, vocabulary: int = 1 << 16) -> bytes:
@@ -153,7 +160,7 @@ class ShardFile:
         return out[lo - at : hi - at]
 
 
-def _write(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str], bytes]], shard_tokens: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[list[str]], list[bytes]]], shard_tokens: int) -> Iterator[pa.RecordBatch]:
     ids_of, end = encode(), (0).to_bytes(4, "little")
     part, shard = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     docs, parts, held = [], [], 0
@@ -168,9 +175,9 @@ def _write(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str
         return row
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist()), strict=True):
             docs.append(doc_id)
-            parts.append(ids_of(text) + end)
+            parts.append(b"".join((ids, end)))
             held += len(parts[-1]) // 4
             if held >= shard_tokens:
                 yield out()
@@ -178,7 +185,7 @@ def _write(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str
         yield out()
 
 
-def write_files(docs: DataFrame, path: str, encode: Callable[[], Callable[[str], bytes]], shard_tokens: int = SHARD_TOKENS) -> None:
+def write_files(docs: DataFrame, path: str, encode: Callable[[], Callable[[list[str]], list[bytes]]], shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the ids of all documents, in ascending doc_id order (null first), to the table of files at path."""
     ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(partial(_write, encode=encode, shard_tokens=shard_tokens), FILES).write.parquet(path)
@@ -209,8 +216,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("part", "shard", "file").join(places, ["part", "shard"]).select("before", "file").mapInArrow(_read, _DOCS)
 
 
-def _encode(path: str) -> Callable[[str], bytes]:
-    return encoder(path).encode
+def _encode(path: str) -> Callable[[list[str]], list[bytes]]:
+    return encoder(path).encode_many
 
 
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

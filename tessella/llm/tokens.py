@@ -11,11 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text whose distinct pieces are looked up together.
+SLICE = 8 << 20
 #: Pieces that the memo holds at most, in each of two dictionaries; a full one is emptied.
-MEMO = 500_000
+MEMO = 300_000
 _CUT_BLANK, _CUT_LINE, _GOOD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?: ?\S+|\n)\Z")
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
@@ -47,7 +52,7 @@ class Encoder:
             if len(self.stems) >= MEMO:
                 self.stems.clear()
             mapped = part.replace(" ", "Ġ") if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-            self.stems[part] = found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            self.stems[part] = found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
 
     def _learn(self, piece: str) -> bytes | None:
@@ -81,6 +86,47 @@ class Encoder:
         except ValueError:
             return b"".join(found)
 
+    def encode_many(self, texts: list[str]) -> list[bytes | memoryview]:
+        """The ids of each text. Every distinct piece of a slice of texts is looked up once."""
+        out: list = []
+        lo = held = 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= SLICE or i + 1 == len(texts):
+                out += self._slice(texts[lo : i + 1])
+                lo, held = i + 1, 0
+        return out
+
+    def _slice(self, texts: list[str]) -> list[bytes | memoryview]:
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring(column, "\0").to_numpy(zero_copy_only=False)
+        if whole.any():
+            column = pc.if_else(pa.array(whole), "", column)
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        at = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        pieces = coded.dictionary.to_pylist()
+        found = list(map(self.memo.get, pieces))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self._learn(pieces[i])
+        odd = np.fromiter((x is None for x in found), bool, len(found))
+        flat = np.frombuffer(b"".join(x for x in found if x is not None), "<u4")
+        sizes = np.fromiter((0 if x is None else len(x) >> 2 for x in found), np.int64, len(found))
+        begins = (np.cumsum(sizes) - sizes)[codes]
+        n = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = memoryview(flat[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes())
+        places = (4 * ends[at]).tolist()
+        out = [ids[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+        strange = whole
+        if odd.any():
+            strange = whole | (np.add.reduceat(np.append(odd[codes], False), at[:-1]) > 0) if len(codes) else whole
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = self.encode(texts[i])
+        return out
+
     def _odd(self, text: str) -> bytes:
         """Odd white space somewhere: cut only where it's plain."""
         pieces = _CUT_LINE.sub("\0\n\0", _CUT_BLANK.sub("\0", text)).split("\0")
