@@ -90,6 +90,12 @@ def annotate_balance(spark, sf):
     return _rounded(pixel_table(spark, sf).get_dataframe(REGION, balance=True), "count", "weight1", "weight2")
 
 
+@query(f"""q as (select p.bin1_id, p.bin2_id, p."count" * a.weight * c.weight as "count" from pixels p join bins a on a.bin_id = bin1_id join bins c on c.bin_id = bin2_id)
+select p.bin1_id, p.bin2_id, round("count", 9) as "count", {_SIDES.split('"count", ')[1]} from q p join bins a on a.bin_id = p.bin1_id join bins c on c.bin_id = p.bin2_id where "count" is not null""")
+def annotate_balance_whole(spark, sf):
+    return _rounded(pixel_table(spark, sf).get_dataframe(balance=True), "count", "weight1", "weight2")
+
+
 @query(f"""{_ASIA}, q as (select s.bin1_id, s.bin2_id, s."count" * a.weight * c.weight as "count" from sub s join b a on a.bin_id = bin1_id join b c on c.bin_id = bin2_id)
 select bin1_id, bin2_id, round("count", 9) as "count" from q where "count" > 0.001 and bin1_id <> bin2_id""")
 def user_strategies(spark, sf):
