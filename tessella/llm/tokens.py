@@ -19,10 +19,13 @@ import pyarrow.compute as pc
 
 #: Bytes of text whose distinct pieces are looked up together.
 SLICE = 8 << 20
-#: Pieces that the memo holds at most, in each of two dictionaries; a full one is emptied.
-MEMO = 300_000
+#: Entries that the memo of pieces and that of pre-tokens hold at most; a full one is emptied.
+MEMO, STEMS = 150_000, 600_000
 _CUT_BLANK, _CUT_LINE, _GOOD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?: ?\S+|\n)\Z")
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_PART = re.compile(r"(?: ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]*)\Z")
+#: ASCII punctuation without the apostrophe, as in the pattern above.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -49,7 +52,7 @@ class Encoder:
     def _pretoken(self, part: str) -> bytes:
         found = self.stems.get(part)
         if found is None:
-            if len(self.stems) >= MEMO:
+            if len(self.stems) >= STEMS:
                 self.stems.clear()
             mapped = part.replace(" ", "Ġ") if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
             self.stems[part] = found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -106,15 +109,8 @@ class Encoder:
         at = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         codes = coded.indices.to_numpy()
-        pieces = coded.dictionary.to_pylist()
-        found = list(map(self.memo.get, pieces))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = self._learn(pieces[i])
-        odd = np.fromiter((x is None for x in found), bool, len(found))
-        flat = np.frombuffer(b"".join(x for x in found if x is not None), "<u4")
-        sizes = np.fromiter((0 if x is None else len(x) >> 2 for x in found), np.int64, len(found))
-        begins = (np.cumsum(sizes) - sizes)[codes]
+        flat, begins, sizes, odd = self._pieces(coded.dictionary.cast(pa.large_string()))
+        begins = begins[codes]
         n = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = memoryview(flat[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes())
@@ -127,6 +123,45 @@ class Encoder:
             out[i] = self.encode(texts[i])
         return out
 
+    def _pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: all ids, each piece's first place and number of ids, whether it isn't a plain piece.
+
+        Every piece is seen as two parts, the second being its last marks; every distinct part is looked up once.
+        """
+        n = len(pieces)
+        stem = pc.binary_length(pc.utf8_rtrim(pieces, characters=_MARKS)).to_numpy(zero_copy_only=False)
+        edges = np.frombuffer(pieces.buffers()[1], np.int64, n + 1, 8 * pieces.offset) if n else np.zeros(1, np.int64)
+        cuts = np.append(np.stack((edges[:-1], edges[:-1] + stem), 1).ravel(), edges[-1])
+        parts = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(cuts), pieces.buffers()[2] if n else pa.py_buffer(b"")).dictionary_encode()
+        which = parts.indices.to_numpy().reshape(n, 2)
+        texts = parts.dictionary.to_pylist()
+        found = list(map(self.stems.get, texts))
+        strange = np.zeros(len(texts), bool)
+        for i, ids in enumerate(found):
+            if ids is None:
+                if _PART.match(texts[i]):
+                    found[i] = self._pretoken(texts[i]) if texts[i] else b""
+                else:
+                    found[i], strange[i] = b"", True
+        # a piece of marks alone, or whose first part isn't one pre-token, is looked up as a whole
+        other = np.flatnonzero(strange[which[:, 0]] | (stem == 0))
+        odd = np.zeros(n, bool)
+        which = which.astype(np.int64)
+        for i, piece in zip(other.tolist(), pieces.take(pa.array(other)).to_pylist(), strict=True):
+            ids = self.memo.get(piece) or self._learn(piece)
+            odd[i] = ids is None
+            which[i] = len(found)
+            found += (ids or b"", b"")
+            which[i, 1] += 1
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first = np.cumsum(n_ids) - n_ids
+        each = n_ids[which].ravel()
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(first[which].ravel() - (ends - each), each) + np.arange(ends[-1] if n else 0)]
+        sizes = each.reshape(n, 2).sum(1)
+        return flat, np.cumsum(sizes) - sizes, sizes, odd
+
     def _odd(self, text: str) -> bytes:
         """Odd white space somewhere: cut only where it's plain."""
         pieces = _CUT_LINE.sub("\0\n\0", _CUT_BLANK.sub("\0", text)).split("\0")
