@@ -45,37 +45,47 @@ def compress(ids: np.ndarray, end: int = 0, first: int = 1 << 16, limit: int = 1
     """
     text = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+    # places whose pair may be frequent: a rare pair that nothing changed stays rare
+    alive = np.flatnonzero((text[:-1] != end) & (text[1:] != end))
     for _ in range(rounds):
         made = sum(map(len, rules))
-        if len(text) < 2 or made >= limit:
+        if not len(alive) or made >= limit:
             break
-        slots = _slot(text[:-1], text[1:])
-        busy = np.bincount(slots, minlength=1 << _SLOTS) >= least
-        likely = np.flatnonzero(busy[slots])
-        left, right = text[likely], text[likely + 1]
-        free = (left != end) & (right != end)
-        likely, keys = likely[free], (left[free].astype(np.int64) << 32) | right[free]
+        left, right = text[alive], text[alive + 1]
+        slots = _slot(left, right)
+        likely = np.flatnonzero((np.bincount(slots, minlength=1 << _SLOTS) >= least)[slots])
+        alive, slots = alive[likely], slots[likely]
+        keys = (left[likely].astype(np.int64) << 32) | right[likely]
         values, counts = np.unique(keys, return_counts=True)
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
         chosen = good[np.lexsort((values[good], -counts[good]))][: min(pairs, limit - made)]
-        chosen = np.sort(values[chosen])
-        marked = np.zeros(1 << _SLOTS, bool)
-        marked[_slot((chosen >> 32).astype(np.uint32), (chosen & 0xFFFFFFFF).astype(np.uint32))] = True
-        near = np.flatnonzero(marked[slots[likely]])
-        places, keys = likely[near], keys[near]
-        at = np.searchsorted(chosen, keys)
-        hit = chosen[np.minimum(at, len(chosen) - 1)] == keys
-        places, which = places[hit], at[hit]
+        chosen = values[chosen]
+        # one pair a slot: the more frequent one now, the other in a later round
+        own = _slot((chosen >> 32).astype(np.uint32), (chosen & 0xFFFFFFFF).astype(np.uint32))
+        rank = np.full(1 << _SLOTS, -1, np.int32)
+        rank[own[::-1]] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+        chosen = chosen[rank[own] == np.arange(len(chosen))]
+        rank[own] = -1
+        rank[_slot((chosen >> 32).astype(np.uint32), (chosen & 0xFFFFFFFF).astype(np.uint32))] = np.arange(len(chosen), dtype=np.int32)
+        which = rank[slots]
+        near = np.flatnonzero(which >= 0)
+        near = near[chosen[which[near]] == keys[near]]
+        places, which = alive[near], which[near]
         run = np.concatenate(([True], np.diff(places) > 1))
         begin = places[np.flatnonzero(run)[np.cumsum(run) - 1]]
         even = (places - begin) % 2 == 0
         places, which = places[even], which[even]
-        text[places] = first + made + which
-        stay = np.ones(len(text), bool)
+        text[places] = (first + made + which).astype(np.uint32)
+        stay, live = np.ones(len(text), bool), np.zeros(len(text), bool)
         stay[places + 1] = False
-        text = text[stay]
+        live[alive] = live[places] = True
+        live[np.maximum(places - 1, 0)] = True
+        text, live = text[stay], live[stay]
+        live[-1] = False
+        alive = np.flatnonzero(live)
+        alive = alive[(text[alive] != end) & (text[alive + 1] != end)]
         new = np.stack((chosen >> 32, chosen & 0xFFFFFFFF), 1)
         known = np.concatenate((lengths, np.zeros(len(new), np.int64)))
         size = lambda s: np.where(s >= first, known[np.maximum(s - first, 0)], 1)
