@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes of text whose distinct pieces are looked up together.
 SLICE = 8 << 20
 #: Entries that the memo of pieces and that of pre-tokens hold at most; a full one is emptied.
-MEMO, STEMS = 150_000, 600_000
+MEMO, STEMS = 150_000, 1_000_000
 _CUT_BLANK, _CUT_LINE, _GOOD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?: ?\S+|\n)\Z")
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _PART = re.compile(r"(?: ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]*)\Z")
@@ -134,7 +134,7 @@ class Encoder:
         cuts = np.append(np.stack((edges[:-1], edges[:-1] + stem), 1).ravel(), edges[-1])
         parts = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(cuts), pieces.buffers()[2] if n else pa.py_buffer(b"")).dictionary_encode()
         which = parts.indices.to_numpy().reshape(n, 2)
-        texts = parts.dictionary.to_pylist()
+        texts = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.stems.get, texts))
         strange = np.zeros(len(texts), bool)
         for i, ids in enumerate(found):
