@@ -29,7 +29,7 @@ _HEAD = struct.Struct("<4sHHIIII")
 _MAGIC = b"RPG1"
 FILES = "part int, shard int, first_doc long, docs long, tokens long, file binary"
 _FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())])
-_SLOTS = 20
+_SLOTS = 19
 
 
 def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
