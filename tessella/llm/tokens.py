@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes of text whose distinct pieces are looked up together.
 SLICE = 8 << 20
 #: Entries that the memo of pieces and that of pre-tokens hold at most; a full one is emptied.
-MEMO, STEMS = 150_000, 1_000_000
+MEMO, STEMS = 150_000, 800_000
 _CUT_BLANK, _CUT_LINE, _GOOD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?: ?\S+|\n)\Z")
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _PART = re.compile(r"(?: ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]*)\Z")
