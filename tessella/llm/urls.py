@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -172,12 +173,13 @@ def _best(histogram: dict[str, list]):
         cells = sorted(histogram[name])
         g, h, n = (sum(c[i] for c in cells) for i in (1, 2, 3))
         lg = lh = ln = 0
-        for value, cg, ch, cn in cells[:-1]:
+        for (value, cg, ch, cn), (after, *_) in pairwise(cells):
             lg, lh, ln = lg + cg, lh + ch, ln + cn
             if ln >= LEAST and n - ln >= LEAST:
                 gain = score(lg, lh) + score(g - lg, h - lh) - score(g, h)
                 if gain > best[0]:
-                    best = (gain, (name, value, None, None))
+                    # halfway to the next value, so that a value unseen goes with the nearer one
+                    best = (gain, (name, (value + after) // 2, None, None))
     return best[1] or _leaf(histogram)
 
 

@@ -121,6 +121,16 @@ def test_memo_equals_library(text):
     assert e.encode(text) == e._library(text) == bytes(e.encode_many([text, "plain words", text])[2])
 
 
+def test_full_memo_is_emptied(monkeypatch):
+    monkeypatch.setattr(tokens, "STEMS", 3)
+    monkeypatch.setattr(tokens, "MEMO", 2)
+    e = tokens.Encoder(tokens.default_vocabulary())
+    texts = ["one two three, four; five", "six 7 8 9 -- don't", "", "one two\nthree, ñandú!", "a  b"]
+    for _ in range(2):
+        assert [bytes(x) for x in e.encode_many(texts)] == [e._library(t) for t in texts]
+    assert len(e.stems) <= 3 and len(e.memo) <= 2
+
+
 def ids_of(text):
     return tokens.encoder(tokens.default_vocabulary())._library(text or "") + bytes(4)
 
@@ -398,6 +408,19 @@ def test_trees_on_held_out_urls(spark):
     assert (got.block == got.said).mean() > 0.95
 
 
+def test_values_between_go_with_the_nearer_one():
+    one = urls._SCALE
+    cells = [(10, -15 * one, 7 * one, 30), (50, 15 * one, 7 * one, 30)]
+    feature, value, *_ = urls._best({"x": cells})
+    assert (feature, value) == ("x", 30)
+
+
+def test_every_verdict_without_a_rule_follows_the_margin(spark):
+    got = registry.QUERIES["op7_boosted_url_filter"](spark, "/root/testdata/sf0.01").where("rule is null").toPandas()
+    assert ((got.margin > 0) == (got.verdict == "block")).all()
+    assert got.verdict.nunique() == 2
+
+
 def test_ties_give_the_same_trees(spark):
     rows = spark.createDataFrame([(f"http://h{i % 3}.org/p{i}/", f"h{i % 3}.org", f"/p{i}/", i % 2) for i in range(200)], "url string, host string, path string, block int")
     assert urls.train(rows, rounds=2).trees == urls.train(rows.repartition(7), rounds=2).trees
