@@ -3,9 +3,10 @@
 Seeds: of each WINDOW consecutive words the SEED-word run with the least hash (the leftmost of equals) is the anchor,
 so equal windows have equal anchors at equal places. Consecutive windows with the same anchor form a block:
 the anchor, extended both ways as far as it stays their anchor. Documents are joined on anchors: blocks of one anchor
-that are equal are one repeat at once, whatever their number; where blocks of an anchor differ, one of each content is
-extended window by window, and equal windows meet. So the work follows the distinct contents, not the pairs of
-documents. Windows that also start in an earlier document are merged into maximal repeats and their words removed.
+that are equal are one repeat at once, whatever their number; where blocks of an anchor differ, those in the first
+document of each content are extended window by window, and equal windows meet. So the work follows the distinct
+contents, not the pairs of documents. Windows that also start in an earlier document are merged into maximal repeats
+and their words removed.
 """
 
 from __future__ import annotations
@@ -150,15 +151,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[Da
     blocks = found.where(F.col("lo").isNotNull()).select("doc_id", "lo", "n", "anchor", "content")
 
     # one row for each content, whatever the number of documents that have it
-    contents = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "lo", "n")).alias("of"))
+    contents = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "lo", "n")).alias("of"), F.count(F.lit(1)).alias("held"))
     contents = stored(contents, "contents")
     again = contents.where("first < last").select("content", "anchor", "first")
     equal = blocks.join(again, ["anchor", "content"]).where("doc_id > first").select("doc_id", "lo", "n")
 
     # anchors with contents that differ, in different documents
     split = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("a"), F.max("last").alias("b")).where("kinds > 1 and a < b").select("anchor")
-    # every first-of-its-content block, and all blocks that are not equal to an earlier one
-    ones = contents.join(split, "anchor").select("of.*")
+    # of these, all blocks in the first document of their content: the first one, and those where it repeats itself
+    apart = contents.join(split, "anchor", "left_semi")
+    twice = apart.where("held > 1").select(F.col("first").alias("doc_id"), "anchor", "content", F.col("of.lo").alias("at"))
+    later = blocks.join(twice, ["doc_id", "anchor", "content"]).where("lo > at").select("doc_id", "lo", "n")
+    ones = apart.select("of.*").unionByName(later)
     wanted = ones.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.array("lo", "n")))).alias("blocks"))
     windows = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "blocks").mapInArrow(partial(_extend, window=window), "doc_id long, at int, hash long"), "windows")
     earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")

@@ -474,6 +474,16 @@ def test_substrings_over_a_small_vocabulary(spark, seed):
     assert Counter(map(tuple, substrings.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), 8, 3).collect())) == brute_dedup(texts, 8)
 
 
+def test_substrings_of_a_document_that_repeats_itself(spark):
+    w = [f"v{i}" for i in range(2_000)]
+    said, around, other = w[:60], w[100:160] + w[200:260], w[300:360] + w[400:460]
+    own = around[:60] + said + around[60:]
+    texts = [(1, " ".join(other[:60] + said + other[60:])), (2, " ".join(own + w[500:560] + own + w[600:660] + own)), (3, " ".join(own))]
+    got = Counter(map(tuple, substrings.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert got == brute_dedup(texts, 50)
+    assert {r[0]: r[2] for r in got} == {1: 0, 2: 180, 3: 180}
+
+
 # --- queries and pipeline
 
 
