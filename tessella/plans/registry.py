@@ -367,3 +367,56 @@ def sorted_pixels(spark, sf):
     return subset_region(pixels(spark, sf), extent=bin_table(spark, sf).extent(REGION)).orderBy("bin1_id", "bin2_id")
 
 
+#: Over all pixels of all chromosomes, unlike the sparse maps of one chromosome above.
+_ALL_CELLS = """ext as (select min(bin1_id) as lo, max(bin2_id) + 1 as hi from pixels),
+up as (select bin1_id - lo as i, bin2_id - lo as j, cast("count" as double) as value from pixels, ext)"""
+_ALL_LINKS = """e as (select bin1_id, bin2_id, "count", false as genomic from pixels where bin1_id <> bin2_id),
+near as (select bin_id as bin1_id, lead(bin_id) over (partition by chrom order by bin_id) as bin2_id from bins),
+links as (select bin1_id, bin2_id, 1 as "count", true as genomic from near n where bin2_id is not null and not exists (select 1 from e where e.bin1_id = n.bin1_id and e.bin2_id = n.bin2_id))"""
+
+
+@query(f"{_ALL_CELLS} select i, j, value from up")
+def matrix_upper_whole(spark, sf):
+    return pixel_table(spark, sf).get_matrix_cells(mode="upper")
+
+
+@query(f"{_ALL_CELLS} select j as i, i as j, value from up")
+def matrix_lower_whole(spark, sf):
+    return pixel_table(spark, sf).get_matrix_cells(mode="lower")
+
+
+@query(f"{_ALL_CELLS} select i, j, value from up where i <> j union all select j, i, value from up where i <> j")
+def matrix_full_masked_whole(spark, sf):
+    return pixel_table(spark, sf).get_matrix_cells(mode="full", mask_diagonal=True)
+
+
+@query(f"""{_ALL_CELLS}, al as (select i, j, value from up union all select j, i, value from up where i <> j),
+side as (select unnest(range(0, (select hi - lo from ext))) as k)
+select a.k as i, c.k as j, value from side a cross join side c left join al on al.i = a.k and al.j = c.k""")
+def matrix_complete_whole(spark, sf):
+    return pixel_table(spark, sf).get_matrix_cells(complete=True)
+
+
+@query(f"{_ALL_CELLS} select i, j, round(log10(value), 9) as value from up where i <> j union all select j, i, round(log10(value), 9) from up where i <> j")
+def plot_counts_whole(spark, sf):
+    from .plotdata import PixelTrack
+
+    return PixelTrack(pixel_table(spark, sf)).cells(None).where("i <> j").withColumn("value", F.round("value", 9))
+
+
+@query(f'{_ALL_LINKS} select bin1_id, bin2_id, "count" from e')
+def graph_edges_whole(spark, sf):
+    return pixel_table(spark, sf).get_graph().get_pixels()
+
+
+@query(f'{_ALL_LINKS} select bin1_id, bin2_id, "count", genomic from e union all select * from links')
+def graph_edges_with_links_whole(spark, sf):
+    return pixel_table(spark, sf).get_graph().get_pixels(keep_genomic=True)
+
+
+@query("""c as (select bin1_id, bin2_id, round("count" / 100.0, 9) as prob from pixels where "count" % 2 = 0)
+select p.bin1_id, p.bin2_id, case when c.bin1_id is null then 2 else 0 end as pix_group, cast(coalesce(prob, 0) as double) as pix_prob
+from pixels p left join c on p.bin1_id = c.bin1_id and p.bin2_id = c.bin2_id""")
+def pix_group_whole(spark, sf):
+    p = pixels(spark, sf)
+    return levels.pixel_groups(p, p.where("count % 2 = 0").select("bin1_id", "bin2_id", F.round(F.col("count") / 100.0, 9).alias("pix_prob")))

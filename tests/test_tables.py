@@ -193,6 +193,14 @@ def test_graph_and_clustering(table):
     assert BinClusters(table.bins, 0).fetch_data("chrII:0-120000").count() == 12 and BinClusters(table.bins, 0).fetch_data("chrX") is None
 
 
+def test_missing_cells_and_links(spark, chr2):
+    given = PixelTable(spark.createDataFrame([(0, 0, 1), (0, 1, 1), (0, 2, 30), (2, 3, 2)], "bin1_id long, bin2_id long, count long"), bins=chr2.where("bin_id < 5"))
+    cells = {(r.i, r.j): r["value"] for r in given.get_matrix_cells(complete=True).collect()}
+    assert len(cells) == 16 and {k: v for k, v in cells.items() if v is not None} == {(0, 0): 1, (0, 1): 1, (1, 0): 1, (0, 2): 30, (2, 0): 30, (2, 3): 2, (3, 2): 2}
+    edges = given.get_graph().get_pixels(keep_genomic=True).collect()
+    assert sorted(tuple(e) for e in edges) == [(0, 1, 1, False), (0, 2, 30, False), (1, 2, 1, True), (2, 3, 2, False), (3, 4, 1, True)]
+
+
 def test_kept_levels():
     assert kept_levels([14, 3, 3, 1], 100) == [0, 1] and kept_levels([1], 5) == [0] and kept_levels([5, 2, 1], 5) == [1] and kept_levels([5], 5) == [0]
 
