@@ -9,7 +9,7 @@ import pytest
 
 from tessella.functions.regions import RegionNotFound, parse_region
 from tessella.operators.annotate import annotated_bins
-from tessella.operators.clustering import cluster_graph
+from tessella.operators.clustering import BlockModel, cluster_graph
 from tessella.operators.expected import expected_normalized_pixels, get_expected_counts
 from tessella.operators.graph import ContactGraph
 from tessella.operators.levels import kept_levels
@@ -193,6 +193,28 @@ def test_graph_and_clustering(table):
     assert BinClusters(table.bins, 0).fetch_data("chrII:0-120000").count() == 12 and BinClusters(table.bins, 0).fetch_data("chrX") is None
 
 
+def test_a_sweep_visits_every_vertex():
+    n = 500
+    a, b = np.arange(n - 1), np.arange(1, n)
+    block, _ = BlockModel(n, a, b, np.full(n - 1, 0.5)).sweep(np.arange(n), np.random.default_rng(1), 0.0, 0.0)
+    assert (block != np.arange(n)).sum() > n // 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_change_of_a_move_is_that_of_the_whole_cost(seed):
+    r = np.random.default_rng(seed)
+    pairs = np.array([p for p in itertools.combinations_with_replacement(range(25), 2) if r.random() < 0.3])
+    model, block = BlockModel(25, pairs[:, 0], pairs[:, 1], r.random(len(pairs))), r.integers(0, 8, 25)
+    for _ in range(3):
+        rows, size = model.rows(block), np.bincount(block)
+        for v, t in itertools.product(range(25), np.unique(block).tolist()):
+            if t != block[v]:
+                moved = np.where(np.arange(25) == v, t, block)
+                assert abs(model.move(block, rows, size, v, t)[0] - (model.cost(moved) - model.cost(block))) < 1e-6
+        block, cost = model.sweep(block, r, 1.0, model.cost(block))
+        assert abs(cost - model.cost(block)) < 1e-9
+
+
 def test_missing_cells_and_links(spark, chr2):
     given = PixelTable(spark.createDataFrame([(0, 0, 1), (0, 1, 1), (0, 2, 30), (2, 3, 2)], "bin1_id long, bin2_id long, count long"), bins=chr2.where("bin_id < 5"))
     cells = {(r.i, r.j): r["value"] for r in given.get_matrix_cells(complete=True).collect()}
