@@ -87,7 +87,7 @@ def scanned(docs: DataFrame, licences: DataFrame) -> DataFrame:
     forms = licences.select("licence", "notice", F.sha2(canonical(F.col("text")), 256).alias("digest"), canonical(F.col("text")).alias("form")).where("form <> ''")
     forms = forms.groupBy("notice", "digest").agg(F.min("licence").alias("licence"))
     texts = F.broadcast(forms.where("not notice").select(F.col("digest").alias("text_sha256"), "licence"))  # the lookup table's own size
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.translate(x, "LICENS", "licens").rlike("licen[cs]e"))
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), F.array_distinct(F.transform(lines, lambda x: F.sha2(canonical(x), 256))).alias("__lines"))
     notices = forms.where("notice").select("digest", "licence").orderBy("digest").collect()  # the lookup table's own size
     blocks = [notices[i : i + BLOCK] for i in range(0, len(notices), BLOCK)]

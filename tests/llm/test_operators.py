@@ -438,6 +438,13 @@ def test_licences(spark, docs, empty):
     assert licences.scanned(docs, licences.known(spark).limit(0)).count() == len(TEXTS)
 
 
+def test_every_known_notice_is_found(spark):
+    texts = [(f"{n.format(x)}", name) for name, xs in licences.NAMES.items() for x in xs for n in licences._NOTICES]
+    frame = spark.createDataFrame([(i, f"a\n  {t}\nb") for i, (t, _) in enumerate(texts)] + [(-1, "Released under GPLv9.")], "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in licences.scanned(frame, licences.known(spark)).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(texts)} | {-1: ""}
+
+
 # --- substrings
 
 
