@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.workdir import discard, file_count, new_path, shared_dir, stored  # noqa: F401  the operators' way to them
+
 #: Upper bound of the per-process memo of word hashes; it is emptied when full.
-WORD_MEMO = 600_000
+WORD_MEMO = 300_000
 #: Bytes of text that a Python worker takes apart at a time.
 SLICE_BYTES = 4 << 20
 
-_fallback_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset, as in tests) an own one."""
-    global _fallback_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _fallback_dir is None:
-        _fallback_dir = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return _fallback_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a stored table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +26,45 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups of rows with equal values of by, and the groups' edges."""
+    held: list[pa.RecordBatch] = []
+
+    def edges(rows) -> np.ndarray:
+        new = np.zeros(max(0, rows.num_rows - 1), bool)
+        for name in by:
+            values = rows.column(name).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(name).to_numpy()
+            new |= values[1:] != values[:-1]
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [rows.num_rows]))
+
+    key = lambda rows, i: tuple(rows.column(name)[i].as_py() for name in by)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(edges(batch)[-2])  # the last group may go on in the next batch
+        if last or (held and key(held[-1], -1) != key(batch, 0)):
+            whole = pa.Table.from_batches(held + ([batch.slice(0, last)] if last else [])).combine_chunks()
+            yield whole, edges(whole)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole, edges(whole)
+
+
+def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching spans of a document become one."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    if not len(doc):
+        return doc, lo, hi
+    wide = int(hi.max()) + 2
+    top = np.maximum.accumulate(doc * wide + hi)
+    first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (doc[1:] * wide + lo[1:] > top[:-1])))
+    begins = np.flatnonzero(first)
+    return doc[begins], lo[begins], top[np.concatenate((begins[1:] - 1, [len(doc) - 1]))] - doc[begins] * wide
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to WORD_MEMO words."""
 

@@ -1,11 +1,10 @@
 """Benchmark decontamination over an FM-index per training shard.
 
 A phrase is PHRASE consecutive words of a benchmark item; an item of fewer words, but not none, is one phrase.
-A shard is a run of documents of about SHARD_WORDS index symbols. Its index holds every stretch of text that can
-hold a phrase: words that no benchmark item has, and word pairs that no item has side by side, end a stretch and
-become one separator, which loses no occurrence. The index is the Burrows-Wheeler transform of the full suffix order,
-with a wavelet matrix for ranks and every SAMPLE-th text position kept. All phrases are searched backward together;
-occurrences are located by walking to a kept position; overlapping spans are merged per document.
+A shard is a run of documents of about SHARD_WORDS words. Its index holds every word of every different text in it (texts
+that are equal are indexed once), so it answers any phrase, of a benchmark or not. It is the Burrows-Wheeler transform of the
+full suffix order, with a wavelet matrix for ranks and every SAMPLE-th text position kept. All phrases are searched
+backward together; occurrences are located by walking to a kept position; overlapping spans are merged per document.
 """
 
 from __future__ import annotations
@@ -19,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_text, slices, table
+from .common import file_count, id_text, merged, slices, table
 
 PHRASE = 8
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1 << 20
 SAMPLE = 8
-#: Bytes of benchmark texts that one pass over the documents searches; a larger benchmark takes several passes.
+#: Bytes of benchmark texts that are searched for at a time.
 BLOCK_BYTES = 32 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Word bytes stay (letters in lower case), all other ASCII becomes a blank.
@@ -35,68 +34,65 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+class Numbers(dict):
+    """bytes -> number from 1, in the order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Phrases:
     """Distinct phrases of a block of items as rows of word numbers (from 1), by length; items by phrase."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = PHRASE) -> None:
-        self.number: dict[bytes, int] = {}
+        number = Numbers()
         of: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            ids = [number[w] for w in words_of(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 of.setdefault(tuple(ids[i : i + width]), set()).add(item)
+        self.words = [b"", *number]
         self.names = sorted(set().union(*of.values())) if of else []
         at = {x: i for i, x in enumerate(self.names)}
-        self.by_length: dict[int, tuple[np.ndarray, int]] = {}
-        self.items: list[np.ndarray] = []
-        self.lengths: list[int] = []
+        self.by_length: dict[int, np.ndarray] = {}
+        self.items: dict[int, list[np.ndarray]] = {}
         for n in sorted({len(p) for p in of}):
             group = [p for p in of if len(p) == n]
-            self.by_length[n] = np.array(group, np.int64), len(self.items)
-            self.items += [np.array(sorted(at[x] for x in of[p]), np.int64) for p in group]
-            self.lengths += [n] * len(group)
-        self.shortest = min(self.by_length, default=0)
-        self.size = len(self.number) + 1
-        pairs = [p[:, i] * self.size + p[:, i + 1] for p, _ in self.by_length.values() for i in range(p.shape[1] - 1)]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[self._slot(self.pairs)] = True
-
-    @staticmethod
-    def _slot(pairs: np.ndarray) -> np.ndarray:
-        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-
-    def stretches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds [lo, hi) of the stretches of ids (0 ends one) that can hold a phrase."""
-        if len(ids) < 2 or not len(self.pairs):
-            linked = np.zeros(max(0, len(ids) - 1), bool)
-        else:
-            keys = ids[:-1] * self.size + ids[1:]
-            linked = self.filter[self._slot(keys)]
-            at = np.flatnonzero(linked)
-            linked[at] = np.isin(keys[at], self.pairs)
-        breaks = np.flatnonzero(~linked) + 1
-        lo, hi = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(ids)]))
-        keep = (hi - lo >= self.shortest) & (ids[np.minimum(lo, len(ids) - 1)] > 0) if len(ids) else np.zeros(len(lo), bool)
-        return lo[keep], hi[keep]
+            self.by_length[n] = np.array(group, np.int64)
+            self.items[n] = [np.array(sorted(at[x] for x in of[p]), np.int64) for p in group]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Prefix doubling; the text ends with its one smallest symbol."""
+    """The suffix array of a text that ends with its one smallest symbol, 0.
+
+    First by as many symbols as fit in a word; then, doubling, only suffixes that still tie are put in order again.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+    bits = max(1, int(text.max()).bit_length())
+    step = 63 // bits
+    padded = np.concatenate((text, np.zeros(step, np.int64)))
+    key = padded[:n].copy()
+    for i in range(1, step):
+        key <<= bits
+        key |= padded[i : i + n]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    open_at = np.flatnonzero(~(first & np.concatenate((first[1:], [True]))))
+    while len(open_at):
+        suffixes = order[open_at]
+        key = rank[suffixes] * n + rank[suffixes + step]  # tied for step symbols: the end isn't among them
+        by = np.argsort(key)
+        suffixes, key = suffixes[by], key[by]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        order[open_at] = suffixes
+        rank[suffixes] = np.maximum.accumulate(np.where(first, open_at, 0))
+        open_at = open_at[~(first & np.concatenate((first[1:], [True])))]
         step *= 2
+    return order
 
 
 class Wavelet:
@@ -106,13 +102,15 @@ class Wavelet:
         self.bits = max(1, int(size - 1).bit_length())
         self.ones: list[np.ndarray] = []
         self.zeros: list[int] = []
+        symbols = symbols.astype(np.uint16 if self.bits <= 16 else np.uint32)
         for b in range(self.bits - 1, -1, -1):
-            bit = (symbols >> b) & 1
+            bit = ((symbols >> b) & 1).astype(bool)
             ones = np.zeros(len(bit) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
+            np.cumsum(bit, out=ones[1:], dtype=np.int32)
             self.ones.append(ones)
             self.zeros.append(len(bit) - int(ones[-1]))
-            symbols = np.concatenate((symbols[bit == 0], symbols[bit == 1]))
+            if b:
+                symbols = np.concatenate((symbols[~bit], symbols[bit]))
 
     def rank(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands before lo, and before hi."""
@@ -126,7 +124,7 @@ class Wavelet:
 class FMIndex:
     def __init__(self, text: np.ndarray, size: int, sample: int = SAMPLE) -> None:
         """text: symbols from 1, with 0 as separator; an end symbol is put below both."""
-        text = np.concatenate((text + 1, [0]))
+        text = np.concatenate((text + 1, [0])).astype(np.int64)
         self.size = size + 1
         order = suffix_order(text)
         self.last = text[order - 1]
@@ -163,108 +161,140 @@ class FMIndex:
 
 
 class Shard:
-    """Documents whose stretches are gathered; index() then finds every phrase in them."""
-
-    def __init__(self, phrases: Phrases) -> None:
-        self.phrases = phrases
-        self.doc_ids: list[int | None] = []
-        self.n_words: list[int] = []
-        self.texts: list[np.ndarray] = []
-        self.owner: list[np.ndarray] = []
-        self.at: list[np.ndarray] = []
+    """Documents of about limit words, whose different texts are indexed whole. A text of more words is indexed in
+    pieces that overlap by all but one word of the longest phrase that is asked for.
+    """
+
+    def __init__(self, limit: int = SHARD_WORDS, overlap: int = PHRASE - 1) -> None:
+        self.limit, self.overlap = limit, overlap
+        self.number = Numbers()
+        self.text_of: dict[bytes, int] = {}
+        self.rows: list[int] = []  # the text of each document
+        self.n_words: list[int] = []  # of each text
+        self.pieces: list[np.ndarray] = []
+        self.piece_text: list[int] = []
+        self.piece_at: list[int] = []
         self.held = 0
 
-    def add(self, doc_ids: list[int | None], texts: list[bytes]) -> None:
-        number, flat, lens = self.phrases.number, [], []
-        for text in texts:
+    def add(self, text: bytes) -> None:
+        known = self.text_of.get(text)
+        if known is None:
+            known = self.text_of[text] = len(self.n_words)
             words = words_of(text)
-            lens.append(len(words))
-            flat += words
-            flat.append(b"")  # between documents; in no vocabulary
-        ids = np.fromiter(map(number.get, flat, [0] * len(flat)), np.int64, len(flat))
-        lo, hi = self.phrases.stretches(ids)
-        starts = np.concatenate(([0], np.cumsum(np.array(lens, np.int64) + 1)))
-        if len(lo):
-            sizes = hi - lo + 1  # with the separator
-            total = int(sizes.sum())
-            begin = np.cumsum(sizes) - sizes
-            source = np.repeat(lo - begin, sizes) + np.arange(total)
-            text = ids[source]
-            text[begin + sizes - 1] = 0
-            doc = np.searchsorted(starts, lo, side="right") - 1
-            self.texts.append(text)
-            self.owner.append(np.repeat(doc + len(self.doc_ids), sizes))
-            self.at.append(source - np.repeat(starts[doc], sizes))
-            self.held += total
-        self.doc_ids += doc_ids
-        self.n_words += lens
-
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each occurrence: document (place in the shard), first word, phrase."""
-        if not self.texts:
-            return (np.zeros(0, np.int64),) * 3
-        text, owner, at = (np.concatenate(x) for x in (self.texts, self.owner, self.at))
-        index = FMIndex(text, self.phrases.size)
-        where, what = [], []
-        for phrases, base in self.phrases.by_length.values():
-            lo, hi = index.search(phrases)
-            counts = hi - lo
-            total = int(counts.sum())
-            if total:
-                rows = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(total)
-                where.append(index.locate(rows))
-                what.append(np.repeat(np.arange(len(phrases)) + base, counts))
-        if not where:
-            return (np.zeros(0, np.int64),) * 3
-        where, what = np.concatenate(where), np.concatenate(what)
-        return owner[where], at[where], what
-
-
-def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping or touching spans of a document become one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    if not len(doc):
-        return doc, lo, hi
-    wide = int(hi.max()) + 2
-    top = np.maximum.accumulate(doc * wide + hi)
-    first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (doc[1:] * wide + lo[1:] > top[:-1])))
-    begins = np.flatnonzero(first)
-    return doc[begins], lo[begins], top[np.concatenate((begins[1:] - 1, [len(doc) - 1]))] - doc[begins] * wide
-
-
-def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[tuple[Shard, list[bytes]]]:
-    shard, texts = Shard(phrases), []
+            self.n_words.append(len(words))
+            ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            at = 0
+            while at < len(ids):
+                self.pieces.append(ids[at : at + self.limit])
+                self.piece_text.append(known)
+                self.piece_at.append(at)
+                self.held += len(self.pieces[-1]) + 1
+                at += self.limit if at + self.limit >= len(ids) else max(1, self.limit - self.overlap)
+        self.rows.append(known)
+
+    def index(self) -> None:
+        """Builds the index; add() no more."""
+        sizes = np.array([len(p) + 1 for p in self.pieces], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        text = np.zeros(int(sizes.sum()), np.int64)
+        for at, piece in zip(self.begins.tolist(), self.pieces, strict=True):
+            text[at : at + len(piece)] = piece
+        self.pieces = []
+        self.fm = FMIndex(text, len(self.number) + 1)
+
+    def find(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of phrases of one length, as rows of this shard's word numbers: text, first word and phrase of each occurrence."""
+        lo, hi = self.fm.search(phrases)
+        counts = hi - lo
+        total = int(counts.sum())
+        rows = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        where = self.fm.locate(rows)
+        piece = np.searchsorted(self.begins, where, side="right") - 1
+        return np.array(self.piece_text, np.int64)[piece], where - self.begins[piece] + np.array(self.piece_at, np.int64)[piece], np.repeat(np.arange(len(phrases)), counts)
+
+    def occurrences(self, phrase: list[bytes]) -> list[tuple[int, int]]:
+        """(document, first word) of each occurrence of any phrase of up to overlap + 1 words."""
+        ids = [self.number.get(w, 0) for w in phrase]
+        if not ids or 0 in ids or not self.n_words:
+            return []
+        text, at, _ = self.find(np.array([ids], np.int64))
+        found = sorted(set(zip(text.tolist(), at.tolist(), strict=True)))
+        return [(row, x) for row, t in enumerate(self.rows) for u, x in found if u == t]
+
+    def matches(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of occurrences as text, lo, hi; (text, item) pairs as text and place in the names."""
+        own = np.array([self.number.get(w, 0) for w in phrases.words], np.int64)
+        none = np.zeros(0, np.int64)
+        spans, found = [(none,) * 3], [(none,) * 2]
+        for n, group in phrases.by_length.items():
+            ids = own[group]
+            here = np.flatnonzero((ids > 0).all(1))
+            if not len(here):
+                continue
+            text, at, which = self.find(ids[here])
+            spans.append((text, at, at + n))
+            seen = np.unique(text * len(group) + here[which])
+            items = [phrases.items[n][p] for p in (seen % len(group)).tolist()]
+            found += [(np.repeat(seen // len(group), [len(x) for x in items]), np.concatenate(items))] if items else []
+        return *(np.concatenate(x) for x in zip(*spans, strict=True)), *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Opened:
+    """Blocks of a benchmark; the one that was used last stays open, no other."""
+
+    def __init__(self, blocks: list) -> None:
+        self.blocks, self.at, self.phrases = blocks, -1, None
+
+    def __iter__(self) -> Iterator[Phrases]:
+        # forth and back in turn, so that the open one is used first
+        order = range(len(self.blocks))
+        for i in reversed(order) if self.at == len(self.blocks) - 1 else order:
+            if i != self.at:
+                self.phrases = None
+                self.at, self.phrases = i, Phrases(self.blocks[i].value if hasattr(self.blocks[i], "value") else self.blocks[i])
+            yield self.phrases
+
+
+def _judged(shard: Shard, opened: Opened) -> list[tuple[int, list[int], list[str]]]:
+    """Of each document of the shard: number of words, spans (merged, flat), items (sorted)."""
+    n = len(shard.n_words)
+    spans: list[list[int]] = [[] for _ in range(n)]
+    items: list[set[str]] = [set() for _ in range(n)]
+    if shard.held:
+        shard.index()
+        parts = []
+        for phrases in opened:
+            *part, owner, item = shard.matches(phrases)
+            parts.append(part)
+            for t, x in zip(owner.tolist(), item.tolist(), strict=True):
+                items[t].add(phrases.names[x])
+        if parts:
+            text, lo, hi = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                spans[t] += [a, b]
+    found = [(shard.n_words[t], spans[t], sorted(items[t])) for t in range(n)]
+    return [found[t] for t in shard.rows]
+
+
+def _judge_batch(batch: pa.RecordBatch, opened: Opened, shard_words: int) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Of each row: number of words, spans, items. A shard is a run of rows within the batch."""
+    out: list[tuple] = []
+    shard = Shard(shard_words)
+    for _, _, texts in slices(batch):
+        for text in texts:
+            shard.add(text)
+            if shard.held >= shard_words:
+                out += _judged(shard, opened)
+                shard = Shard(shard_words)
+    out += _judged(shard, opened)
+    return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int) -> Iterator[pa.RecordBatch]:
+    opened = Opened(blocks)
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for lo, hi, some in slices(batch):
-            shard.add(ids[lo:hi], some)
-            texts += some
-            if shard.held >= shard_words or len(shard.doc_ids) >= 20_000:
-                yield shard, texts
-                shard, texts = Shard(phrases), []
-    if shard.doc_ids:
-        yield shard, texts
-
-
-def _judge(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Per document its spans (merged) and items within this block of the benchmark."""
-    lengths = np.array(phrases.lengths, np.int64)
-    for shard, _ in _shards(batches, phrases, shard_words):
-        n = len(shard.doc_ids)
-        doc, at, what = shard.found()
-        span_doc, lo, hi = merged(doc, at, at + lengths[what]) if len(doc) else (doc, at, at)
-        spans: list[list[int]] = [[] for _ in range(n)]
-        for d, a, b in zip(span_doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            spans[d] += [a, b]
-        items: list[list[str]] = [[] for _ in range(n)]
-        if len(doc):
-            seen = np.unique(doc * len(phrases.lengths) + what)
-            counts = np.array([len(x) for x in phrases.items])[seen % len(phrases.lengths)]
-            pairs = np.unique(np.repeat(seen // len(phrases.lengths), counts) * len(phrases.names) + np.concatenate([phrases.items[p] for p in (seen % len(phrases.lengths)).tolist()]))
-            for d, x in zip((pairs // len(phrases.names)).tolist(), (pairs % len(phrases.names)).tolist(), strict=True):
-                items[d].append(phrases.names[x])
-        yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+        n, spans, items = _judge_batch(batch, opened, shard_words)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -296,41 +326,17 @@ def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _unite(spans: list[int], more: list[int]) -> list[int]:
-    n = np.array(sorted(zip((spans + more)[::2], (spans + more)[1::2])), np.int64).reshape(-1, 2)
-    _, lo, hi = merged(np.zeros(len(n), np.int64), n[:, 0], n[:, 1])
-    return np.stack((lo, hi), 1).ravel().tolist()
-
-
-def _judge_all(batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Several blocks of the benchmark, one after the other, over each shard of documents."""
-    opened = [Phrases(b.value if hasattr(b, "value") else b) for b in blocks]
-    if len(opened) == 1:
-        yield from _judge(batches, opened[0], shard_words)
-        return
-    for batch in batches:
-        parts = [list(_judge(iter([batch]), p, shard_words)) for p in opened]
-        tables = [pa.Table.from_batches(p) for p in parts if p]
-        if not tables:
-            continue
-        spans, items = tables[0].column("spans").to_pylist(), tables[0].column("items").to_pylist()
-        for t in tables[1:]:
-            spans = [_unite(a, b) if b else a for a, b in zip(spans, t.column("spans").to_pylist(), strict=True)]
-            items = [sorted({*a, *b}) for a, b in zip(items, t.column("items").to_pylist(), strict=True)]
-        t = tables[0].combine_chunks()
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("doc_id").to_pylist(), pa.int64()), pa.array(t.column("n_words").to_pylist(), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans (flat lo, hi word bounds of what to remove), items (ids found, sorted).
 
-    A null or empty text has no words; items without words, or with a null id or text, are never found. Repeated
-    documents are judged one by one; repeated item ids count once. The benchmark, which is the query set, is searched
-    in blocks of block_bytes, each broadcast on its own.
+    A null or empty text has no words; items without words, or with a null id or text, are never found. A very long
+    text is indexed in overlapping pieces. Repeated documents are judged one by one; repeated item ids count once; an empty
+    table gives no rows. Other columns of docs, whatever their names, play no part. The benchmark, which is the query set,
+    is searched in blocks of about block_bytes, each broadcast on its own; a worker opens one at a time.
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
-    return id_text(docs).mapInArrow(partial(_judge_all, blocks=blocks, shard_words=shard_words), "doc_id long, n_words long, spans array<long>, items array<string>")
+    return id_text(docs).mapInArrow(partial(_judge, blocks=blocks, shard_words=shard_words), "doc_id long, n_words long, spans array<long>, items array<string>")
 
 
 def without_spans(text: bytes, spans: list[int]) -> bytes:
@@ -345,35 +351,39 @@ def without_spans(text: bytes, spans: list[int]) -> bytes:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int) -> Iterator[pa.RecordBatch]:
+    opened = Opened(blocks)
     for batch in batches:
         if not batch.num_rows:
             continue
         names = batch.schema.names
         texts = batch.column(names.index("text"))
-        part = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts.fill_null("")], names=["doc_id", "text"])
-        judged = pa.Table.from_batches(list(_judge_all(iter([part]), blocks, shard_words)))
-        spans, items = judged.column("spans").to_pylist(), judged.column("items").to_pylist()
-        new, sizes = texts.to_pylist(), batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-        for i, s in enumerate(spans):
-            if s:
-                new[i] = without_spans(new[i].encode(), s).decode()
-                if sizes:
-                    sizes[i] = len(new[i])
+        _, spans, items = _judge_batch(pa.RecordBatch.from_arrays([texts], names=["text"]), opened, shard_words)
         columns = list(batch.columns)
-        columns[names.index("text")] = pa.array(new, texts.type)
-        if sizes:
-            columns[names.index("n_chars")] = pa.array(sizes, batch.column(names.index("n_chars")).type)
+        if any(spans):
+            new, sizes = texts.to_pylist(), batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
+            for i, s in enumerate(spans):
+                if s:
+                    new[i] = without_spans(new[i].encode(), s).decode()
+                    if sizes:
+                        sizes[i] = len(new[i])
+            columns[names.index("text")] = pa.array(new, texts.type)
+            if sizes:
+                columns[names.index("n_chars")] = pa.array(sizes, batch.column(names.index("n_chars")).type)
         yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([len(x) < 2 for x in items]))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs, all columns: contaminated documents (two items or more) go; of the rest the removal spans are cut out."""
+    """docs, all columns: contaminated documents (two items or more) go; of the rest the removal spans are cut out.
+
+    n_chars, where there is one, follows the text. A null text stays null. Repeated rows are judged one by one.
+    """
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
-    return docs.mapInArrow(partial(_clean, blocks=blocks, shard_words=shard_words), docs.schema)
+    return docs.mapInArrow(partial(_clean, blocks=blocks, shard_words=shard_words), docs.schema).coalesce(file_count(docs))
 
 
 def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).mapInArrow(_digest, SCHEMA)
+    docs = table(spark, sf_dir, "documents")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).mapInArrow(_digest, SCHEMA).coalesce(file_count(docs))
 
 
 OP5_SQL = r"""

@@ -89,6 +89,9 @@ def test_quality_rules(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 9, 11)] + [(1, 0, 0), (12, 1, 1), (13, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judged(docs, labels)
     assert {"start", "spans", "text"} < set(got.columns)
+    own = {f"__{c}": "mine" for c in ("h", "p", "w", "s", "lines", "at", "id", "row", "nr")}
+    clash = quality.judged(docs.selectExpr("*", *[f"'{v}' as {k}" for k, v in own.items()], "7L as n_words"), labels)
+    assert rows(clash.drop(*own)) == rows(got.select(clash.drop(*own).columns)) and all(r.asDict().items() >= own.items() for r in clash.collect())
     for r in got.collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_of(r.text)
         assert not (r.base_failed and r.kept)
@@ -214,45 +217,64 @@ def shingle_set(text):
 
 
 def brute_links(texts):
-    sets = [(i, shingle_set(t)) for i, t in texts if i is not None and words(t)]
-    parent, degree = {i: i for i, _ in texts if i is not None}, Counter()
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if 5 * len(a & b) >= 4 * len(a | b):
-                degree[k] += 1
-                degree[[x[0] for x in sets].index(j) if i != j else k] += 1
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in parent}
-
-
-def test_jaccard_classes(spark, docs, empty):
-    got = jaccard.near_duplicates(docs).collect()
-    want = brute_links(TEXTS)
-    assert len(got) == len(TEXTS)
-    for r in got:
-        assert r.class_id == (None if r.doc_id is None else want[r.doc_id])
-    links = {r.doc_id: r.n_links for r in got if r.doc_id is not None}
-    assert (links[1], links[3], links[4], links[5], links[7], links[15]) == (2 if want[3] == 1 else 1, 2 if want[3] == 1 else 0, 0, 0, 1, 0)
+    """Of each row: (text_id, class_id, n_links)."""
+    sets = [shingle_set(t) if i is not None else frozenset() for i, t in texts]
+    same = [[k != j and bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)] for k, a in enumerate(sets)]
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min([group[k], *(group[j] for j, x in enumerate(row) if x)]) for k, row in enumerate(same)]
+    out = []
+    for k, (i, t) in enumerate(texts):
+        copies = [j for j, (_, u) in enumerate(texts) if sets[k] and sets[j] and words(t) == words(u)] or [k]
+        members = [j for j in range(len(texts)) if group[j] == group[k]]
+        out.append((min(texts[j][0] for j in copies) if i is not None else None, min(texts[j][0] for j in members) if i is not None else None, sum(same[k])))
+    return out
+
+
+def test_jaccard_links_and_classes(spark, docs, empty):
+    got = Counter(map(tuple, jaccard.near_duplicates(docs).collect()))
+    assert got == Counter((i, *x) for (i, _), x in zip(TEXTS, brute_links(TEXTS)))
     assert jaccard.near_duplicates(empty).count() == 0
     once = jaccard.one_of_each(docs)
     assert once.columns == docs.columns
-    kept = [r.doc_id for r in once.collect()]
-    assert kept.count(None) == 2 and sorted(i for i in kept if i) == sorted(set(want.values()))
+    want = {(i, t) for (i, t), (_, c, _) in zip(TEXTS, brute_links(TEXTS)) if i is None or not words(t) or i == c}
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter({x: 1 for x in want})
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    a, b = prose(120), prose(100)
+    texts = [(1, a), (2, b), (2, a + " more"), (3, b), (3, b), (3, None), (3, " "), (2, a + " more"), (4, b + " and more")]
+    frame = spark.createDataFrame([(*x, "m") for x in texts], "doc_id long, text string, row string").repartition(4)
+    got = Counter(map(tuple, jaccard.near_duplicates(frame).collect()))
+    assert got == Counter((i, *x) for (i, _), x in zip(texts, brute_links(texts)))
+    assert (1, 1, 1, 2) in got and (2, 2, 1, 2) in got
+    assert Counter((r.doc_id, r.text) for r in jaccard.one_of_each(frame).collect()) == Counter([(1, a), (2, b), (3, None), (3, " ")])
 
 
-def test_jaccard_large_group_in_chunks(spark):
+@pytest.mark.parametrize("chunk", [8, 256])
+def test_jaccard_large_group_in_chunks(spark, chunk):
     base = prose(100).split()
     texts = [(i, " ".join(base[:50] + [f"x{i}"] + base[51:])) for i in range(60)]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), chunk=8).collect()}
-    close = [[5 * len(a & b) >= 4 * len(a | b) for b in map(shingle_set, (t for _, t in texts))] for a in map(shingle_set, (t for _, t in texts))]
-    assert got == {i: (0 if sum(close[i]) > 1 else i, sum(close[i]) - 1) for i in range(60)}
+    got = Counter(map(tuple, jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), chunk=chunk).collect()))
+    assert got == Counter((i, *x) for (i, _), x in zip(texts, brute_links(texts)))
+
+
+def test_jaccard_random_near_copies(spark):
+    r = np.random.default_rng(11)
+    texts = []
+    for g in range(12):
+        base = prose(int(r.integers(20, 120))).split()
+        for _ in range(int(r.integers(1, 9))):
+            w = [x if r.random() > 0.02 else f"y{r.integers(9)}" for x in base]
+            texts.append((int(r.integers(0, 60)), " ".join(w)))
+    got = Counter(map(tuple, jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert got == Counter((i, *x) for (i, _), x in zip(texts, brute_links(texts)))
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (202, 201), (300, 300)]
+    got = {r.member: r.least for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(41), 100]} | {200: 200, 201: 200, 202: 200, 300: 300}
 
 
 def test_pruning_never_drops_the_similar():
@@ -282,7 +304,7 @@ def test_scan_equals_brute_force(parts):
 
 def test_ledger_is_incremental(spark, docs, empty):
     ledger = common.new_path(spark, "test-ledger")
-    got = secrets.digests(secrets.scan_versions(docs.drop("spans"), ledger).select("doc_id", "text", "spans").drop("text"))
+    got = secrets.digests(secrets.scan_versions(docs, ledger).select("doc_id", "spans"))
     by_id = {r.doc_id: r for r in got.collect()}
     for i, t in TEXTS:
         if i is not None:
@@ -293,6 +315,9 @@ def test_ledger_is_incremental(spark, docs, empty):
     assert entries().count() == len({t or "" for _, t in TEXTS})
     secrets.scan_versions(docs.drop("spans").unionByName(spark.createDataFrame([(99, "token = abcdefgh", "x", 1)], "doc_id long, text string, start string, n_chars int")), ledger).count()
     assert entries().count() == len({t or "" for _, t in TEXTS}) + 1
+    # a second run that has put the same blobs in doesn't multiply rows
+    spark.read.schema(secrets.LEDGER).parquet(ledger).coalesce(1).write.mode("append").parquet(ledger)
+    assert secrets.scan_versions(docs, ledger).count() == len(TEXTS)
     other = (("hex", r"([0-9a-f]{40,})", 1, 40),)
     secrets.scan_versions(docs.drop("spans"), ledger, other).count()
     assert entries().select("rule_version").distinct().count() == 2
@@ -341,6 +366,26 @@ def test_contamination(spark, docs, empty, block_bytes):
     assert left[12] == "" and left[1] == BASE and left[4] is None and SHARED not in left[11] and len(words(left[11])) == 40
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", max_size=1).map(lambda x: x or "c"), max_size=40).map(" ".join), st.lists(st.sampled_from(["a", "b", "c", "zz"]), min_size=1, max_size=4), st.integers(6, 50))
+def test_a_shards_index_answers_any_phrase(text, phrase, limit):
+    shard = decontaminate.Shard(limit=limit, overlap=3)
+    texts = [text, "a b", text, "", "b " + text]
+    for t in texts:
+        shard.add(t.encode())
+    if shard.held:
+        shard.index()
+        want = [(d, k) for d, t in enumerate(texts) for k in range(len(t.split()) - len(phrase) + 1) if t.split()[k : k + len(phrase)] == phrase]
+        assert shard.occurrences([w.encode() for w in phrase]) == want
+
+
+def test_one_block_of_the_benchmark_is_open():
+    blocks = [[("a", b"x y")], [("b", b"y z")], [("c", b"q")]]
+    opened = decontaminate.Opened(blocks)
+    for _ in range(3):
+        assert sorted(n for p in opened for n in p.names) == ["a", "b", "c"]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 def test_fm_index(text, phrase):
@@ -467,13 +512,18 @@ def brute_dedup(texts, window):
 
 
 def test_substrings(spark, docs, empty):
-    unique = [(i, t) for i, t in TEXTS if i != 17]
-    frame = docs.where("doc_id is null or doc_id <> 17")
-    assert Counter(map(tuple, substrings.deduplicated(frame).collect())) == brute_dedup(unique, 50)
-    assert Counter(map(tuple, substrings.deduplicated(frame, 12, 5).collect())) == brute_dedup(unique, 12)
+    assert Counter(map(tuple, substrings.deduplicated(docs).collect())) == brute_dedup(TEXTS, 50)
+    assert Counter(map(tuple, substrings.deduplicated(docs, 12, 5).collect())) == brute_dedup(TEXTS, 12)
     assert substrings.deduplicated(empty).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    a, b = prose(120), prose(90)
+    texts = [(1, a), (2, b + " " + a), (2, "short text here"), (2, b), (2, b), (3, b + " " + a), (1, b[:400]), (3, None)]
+    got = Counter(map(tuple, substrings.deduplicated(spark.createDataFrame([(*x, 1) for x in texts], "doc_id long, text string, row int").repartition(5)).collect()))
+    assert got == brute_dedup(texts, 50)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_over_a_small_vocabulary(spark, seed):
     r = np.random.default_rng(seed)
