@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Rolling, WordHashes, discard, id_text, slices, stored, table
+from .common import Rolling, WordHashes, discard, file_count, grouped, id_text, slices, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -29,6 +29,8 @@ STEP = 16
 #: Least posterior probability of reaching the threshold with which a pair is still compared.
 TOLERANCE = 1e-6
 CHUNK = 256
+#: Parts of a label's members in the joins that follow labels: one group may hold a third of all texts.
+SALTS = 16
 _SEED = 0x51ED270B
 
 
@@ -64,18 +66,17 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-_SIGNED = "doc_id long, key binary, bands array<int>, bits binary"
+_SIGNED = "doc_id long, row long, key binary, bands array<int>, bits binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Per document: a key of its word sequence (null without words), band values, last 8 bits of each MinHash value."""
+    """Per row: a key of its word sequence (null without words), band values, last 8 bits of each MinHash value."""
     import xxhash
 
     hasher, rolling = WordHashes(), Rolling()
     times, plus = _permutations(bands * rows)
     mixers = np.random.default_rng(_SEED + 1).integers(0, 1 << 32, rows, np.uint32) | np.uint32(1)
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
         for lo, hi, texts in slices(batch):
             keys, runs = [], []
             for text in texts:
@@ -101,34 +102,11 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int)
             low = iter(np.ascontiguousarray((least & np.uint32(255)).astype(np.uint8).T))
             val = iter(value.view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi], pa.int64()), pa.array(keys, pa.binary()), pa.array([next(val) if f else None for f in filled], pa.list_(pa.int32())), pa.array([next(low).tobytes() if f else None for f in filled], pa.binary())],
-                names=["doc_id", "key", "bands", "bits"],
+                [batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array([next(val) if f else None for f in filled], pa.list_(pa.int32())), pa.array([next(low).tobytes() if f else None for f in filled], pa.binary())],
+                names=["doc_id", "row", "key", "bands", "bits"],
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: str):
-    """Rows of sorted batches as column dictionaries, one for each value of by (whole groups)."""
-    held: list[pa.RecordBatch] = []
-
-    def out(rows: pa.Table):
-        values = rows.column(by).to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-        return rows, edges
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(by).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(values, values[-1], side="left"))  # sorted: the last group may go on
-        if cut or (held and held[-1].column(by)[-1].as_py() != values[0]):
-            first = held + ([batch.slice(0, cut)] if cut else [])
-            yield out(pa.Table.from_batches(first).combine_chunks())
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield out(pa.Table.from_batches(held).combine_chunks())
-
-
 _PARTNERS = "unit long, member long, partners array<long>"
 
 
@@ -136,7 +114,7 @@ def _prune(batches: Iterator[pa.RecordBatch], least: list[int], bands: int, tota
     """Rows (unit, band, value, left, right, member, bands, bits), sorted by unit -> members of the pairs that stay, each
     once, with those partners that it is to be compared with.
     """
-    for rows, edges in _groups(batches, "unit"):
+    for rows, edges in grouped(batches, "unit"):
         n = rows.num_rows
         values = rows.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, bands)
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(n, total)
@@ -204,7 +182,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
     """
     hasher, rolling = WordHashes(), Rolling()
     numerator, denominator = threshold.as_integer_ratio() if threshold.as_integer_ratio()[1] < 1 << 20 else (round(threshold * 1_000_000), 1_000_000)
-    for rows, edges in _groups(batches, "unit"):
+    for rows, edges in grouped(batches, "unit"):
         members, copies, partners = (rows.column(c).to_pylist() for c in ("member", "copies", "partners"))
         texts = rows.column("text").cast(pa.binary())
         links: list[tuple[int, int, int | None]] = []
@@ -246,39 +224,50 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["member", "links", "other"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(member, least): the least member reachable, for each member of an edge (a, b). Labels are pushed to neighbours
     and shortened through the label's own label, each round written to the shared folder, until nothing changes.
     """
+    # salted sides hold a row for each salt, more than their estimated size tells: they are dealt by key, never broadcast
     spark = edges.sparkSession
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "labels")
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", files)
+    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "labels", files)
+    salt, salts = F.pmod(F.col("a"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("least").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        far = labels.select(F.col("a").alias("least"), F.col("least").alias("l2"))
-        better = labels.join(near, "a").join(far, "least", "left").select("a", F.least("least", "l", "l2").alias("new"), F.col("least").alias("old"))
+        # only labels' own labels: as many rows as there are labels in use
+        far = labels.join(labels.select(F.col("least").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("least"), F.col("least").alias("l2"), salts)
+        better = labels.join(near, "a").select("a", "least", "l", salt).join(far.hint("merge"), ["least", "salt"], "left").select("a", "salt", F.least("least", "l", "l2").alias("new"), F.col("least").alias("old"))
+        better = stored(better, "better", files)
         # a label may also improve those that point to it: pass new labels on to the members of the old one
-        lifted = better.groupBy("old").agg(F.min("new").alias("up")).where("up < old")
-        moved = stored(better.join(lifted, "old", "left").select("a", F.least("new", F.coalesce("up", "new")).alias("least"), (F.least("new", F.coalesce("up", "new")) < F.col("old")).alias("changed")), "labels")
+        lifted = better.groupBy("old").agg(F.min("new").alias("up")).where("up < old").select("old", "up", salts)
+        new = F.least("new", F.coalesce("up", "new"))
+        moved = stored(better.join(lifted.hint("merge"), ["old", "salt"], "left").select("a", new.alias("least"), (new < F.col("old")).alias("changed")), "labels", files)
         discard(spark, labels)
+        discard(spark, better)
         labels = moved.select("a", "least")
         if moved.where("changed").isEmpty():
             discard(spark, both)
             return labels.select(F.col("a").alias("member"), "least")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, chunk: int = CHUNK, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per row of docs: doc_id, text_id (least doc_id of those with its word sequence), class_id (least doc_id of its
-    group of linked texts), n_links (other documents of similarity threshold or more, copies included).
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row: the hash row tells rows of one doc_id apart."""
+    return id_text(docs).withColumn("row", F.xxhash64("text"))
+
 
-    A document without words (null or blank) has no links and is its own class. Rows with a null doc_id take part in
-    nothing and get null ids. Repeated rows of a doc_id are copies of one another. An empty table gives no rows.
+def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, chunk: int = CHUNK, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per row of docs: doc_id, row, text_id, class_id, n_links as in near_duplicates, and stays: whether the row, or one equal
+    to it in doc_id and text, is the one of its group that stays; null where nothing can link (no words, or a null doc_id).
     """
     total = BANDS * ROWS
-    docs = id_text(docs)
-    signed = stored(docs.mapInArrow(partial(_sign, width=width, bands=BANDS, rows=ROWS), _SIGNED), "signed")
+    docs = keyed(docs)
+    files = file_count(docs)
+    signed = stored(docs.mapInArrow(partial(_sign, width=width, bands=BANDS, rows=ROWS), _SIGNED), "signed", files)
     full = signed.where("key is not null and doc_id is not null")
-    texts = stored(full.groupBy("key").agg(F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "texts")
+    # different texts get numbers, which hold from here on as they are written; first: one row that has the text
+    texts = full.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    texts = stored(texts.coalesce(files).withColumn("member", F.monotonically_increasing_id()), "texts")
 
     placed = texts.select("member", F.posexplode("bands").alias("band", "value"))
     crowded = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -286,29 +275,53 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     met = in_crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("member", "band", "value", F.xxhash64("band", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
     dealt = met.join(texts.select("member", "bands", "bits"), "member").repartition("unit").sortWithinPartitions("unit")
-    pruned = stored(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance), bands=BANDS, total=total, step=STEP), _PARTNERS), "pairs")
+    pruned = stored(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance), bands=BANDS, total=total, step=STEP), _PARTNERS), "pairs", 3 * files)
 
     # every member of a unit with a pair that is left, once, with its text
-    sources = pruned.join(texts.select("member", "copies"), "member")
-    with_text = sources.join(docs.withColumnRenamed("doc_id", "member"), "member")
+    sources = pruned.join(texts.select("member", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "member")
+    with_text = sources.join(docs, ["doc_id", "row"])
     verified = with_text.select("unit", "member", "copies", "text", "partners").repartition("unit").sortWithinPartitions("unit")
-    links = stored(verified.mapInArrow(partial(_verify, width=width, threshold=threshold), _LINKS), "links")
+    links = stored(verified.mapInArrow(partial(_verify, width=width, threshold=threshold), _LINKS), "links", files)
 
     degree = links.groupBy("member").agg(F.sum("links").alias("links"))
-    forest = links.where("other is not null").select(F.col("member").alias("a"), F.col("other").alias("b"))
-    classes = texts.select("key", "member", "copies").join(degree, "member", "left").join(components(forest), "member", "left")
-    classes = classes.select("key", "member", F.coalesce("least", "member").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = F.col("member").isNull()
-    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes, "key", "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("member")).alias("text_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")
+    found = components(links.where("other is not null").select(F.col("member").alias("a"), F.col("other").alias("b")), files)
+    # the first row of a group stands for it: pre-aggregated, so a large group is one row a task
+    heads = found.join(texts.select("member", "first"), "member").groupBy("least").agg(F.min("first").alias("head")).select("least", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    grouped_texts = found.withColumn("salt", F.pmod(F.col("member"), F.lit(SALTS))).join(heads.hint("merge"), ["least", "salt"]).select("member", "head")
+    classes = texts.select("key", "member", "first", "copies").join(degree, "member", "left").join(grouped_texts, "member", "left")
+    classes = classes.select("key", "first", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = signed.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    of = lambda c: F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col(c))
+    return own.join(classes, "key", "left").select(
+        "doc_id", "row", of("first.doc_id").alias("text_id"), of("head.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("head") == F.struct("doc_id", "row")).alias("stays")
     )
 
 
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, chunk: int = CHUNK, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per row of docs: doc_id, text_id (least doc_id of those with its word sequence), class_id (least doc_id of its
+    group of linked texts), n_links (other rows of similarity threshold or more, copies included).
+
+    A row without words (null, empty or blank text) has no links and is its own class. Rows with a null doc_id take part
+    in nothing and get null ids. Rows that share a doc_id are judged each by its own text: equal texts are copies of one
+    another, others are linked or not as any two texts are. A very long text is taken whole. An empty table gives no
+    rows. Columns other than doc_id and text, whatever their names, play no part.
+    """
+    found = classified(docs, threshold, width, chunk, tolerance)
+    return found.drop("row", "stays").coalesce(file_count(docs))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document, that of the least doc_id, of each group; all columns. Rows with a null doc_id stay."""
-    stay = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(stay, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each group, that of the least doc_id; all columns.
+
+    Rows that nothing can link (without words, or with a null doc_id) all stay. Of rows that are equal in doc_id and
+    text one stays. No row goes because another text has its doc_id. An empty table gives no rows.
+    """
+    verdict = classified(docs, **options).where("stays is not null").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "stays").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__row"))
+    told = rows.join(verdict, ["__id", "__row"], "left").where("stays is null or stays")
+    # equal rows of those that stay meet where the join has brought them; the others are told apart by a number
+    once = told.withColumn("__nth", F.when(F.col("stays"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["__id", "__row", "__nth"])
+    return once.select(*[F.col(f"__all.`{c}`").alias(c) for c in docs.columns]).coalesce(file_count(docs))
 
 
 def op3_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
