@@ -19,12 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Rolling, WordHashes, id_text, slices, stored, table
+from .common import Rolling, WordHashes, file_count, grouped, id_text, merged, slices, stored, table
 
 WINDOW = 50
 SEED = 20
-_BLOCKS = "doc_id long, lo int, n int, anchor long, content long, hashes array<long>, n_words long, whole binary, same long"
-_BLOCK_ARROW = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -62,57 +60,67 @@ class Hasher:
         return first, count, runs[place], content, prefix
 
 
+_SEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("n_words", pa.int64()), ("whole", pa.binary())])
+_SEED_SQL = "doc_id long, row long, lo int, n int, anchor long, content long, n_words long, whole binary"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(columns["doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SEED_SCHEMA], schema=_SEED_SCHEMA)
+
+
 def _seeds(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
     """A row with lo null for each document (n_words, digest of all words), and a row for each block."""
     hasher = Hasher()
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
         for lo, hi, texts in slices(batch):
-            docs, cols = [], [[] for _ in range(5)]
-            for doc_id, text in zip(ids[lo:hi], texts, strict=True):
+            docs, cols = [], [[] for _ in range(6)]
+            for doc_id, row, text in zip(ids[lo:hi], rows[lo:hi], texts, strict=True):
                 words = text.split()
-                sha = hashlib.sha256(b" ".join(words))
-                docs.append((doc_id, len(words), sha.digest()))
-                if len(words) >= window:
+                docs.append((doc_id, row, len(words), hashlib.sha256(b" ".join(words)).digest()))
+                if len(words) >= window and doc_id is not None:
                     first, count, anchor, content, _ = hasher.blocks(hasher.hashes(words), window, seed)
-                    for c, v in zip(cols, (np.full(len(first), -1 if doc_id is None else doc_id), first, count, anchor, content), strict=True):
+                    for c, v in zip(cols, (np.full(len(first), doc_id), np.full(len(first), row), first, count, anchor, content), strict=True):
                         c.append(v)
-                    if doc_id is None:
-                        for c in cols:
-                            c.pop()
-            d = list(zip(*docs, strict=True)) if docs else [[], [], []]
-            yield _rows(doc_id=d[0], n_words=d[1], whole=d[2])
+            d = list(zip(*docs, strict=True))
+            yield _rows(doc_id=d[0], row=d[1], n_words=d[2], whole=d[3])
             if cols[0]:
                 c = [np.concatenate(x) for x in cols]
-                yield _rows(doc_id=c[0], lo=c[1].astype(np.int32), n=c[2].astype(np.int32), anchor=c[3].view(np.int64), content=c[4].view(np.int64))
+                yield _rows(doc_id=c[0], row=c[1], lo=c[2].astype(np.int32), n=c[3].astype(np.int32), anchor=c[4].view(np.int64), content=c[5].view(np.int64))
 
 
-_SEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("n_words", pa.int64()), ("whole", pa.binary())])
-_SEED_SQL = "doc_id long, lo int, n int, anchor long, content long, n_words long, whole binary"
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, row, lo, n), sorted -> one row for each document with its windows as ranges (flat lo, n) that don't touch."""
+    for rows, edges in grouped(batches, "doc_id", "row"):
+        lo = rows.column("lo").to_numpy().astype(np.int64)
+        of, a, b = merged(np.repeat(np.arange(len(edges) - 1), np.diff(edges)), lo, lo + rows.column("n").to_numpy())
+        flat = pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(of, np.arange(len(edges)))).astype(np.int32)), pa.array(np.stack((a, b - a), 1).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.column("doc_id").to_numpy()[edges[:-1]]), pa.array(rows.column("row").to_numpy()[edges[:-1]]), flat], names=["doc_id", "row", "ranges"])
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(columns["doc_id"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SEED_SCHEMA], schema=_SEED_SCHEMA)
+def ranges(windows: DataFrame) -> DataFrame:
+    """(doc_id, row, ranges) from runs of windows (doc_id, row, lo, n)."""
+    return windows.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "lo").mapInArrow(_ranges, "doc_id long, row long, ranges array<long>")
 
 
 def _extend(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The windows of wanted blocks: rows (doc_id, text, blocks as flat lo, n) -> (doc_id, at, hash)."""
+    """The windows of wanted ranges: rows (doc_id, row, text, ranges) -> (doc_id, row, at, hash)."""
     hasher = Hasher()
     for batch in batches:
-        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("blocks").to_pylist()
+        ids, rows, wanted = (batch.column(c).to_pylist() for c in ("doc_id", "row", "ranges"))
         for lo, hi, texts in slices(batch):
-            doc, at, found = [], [], []
-            for doc_id, flat, text in zip(ids[lo:hi], wanted[lo:hi], texts, strict=True):
+            doc, own, at, found = [], [], [], []
+            for doc_id, row, flat, text in zip(ids[lo:hi], rows[lo:hi], wanted[lo:hi], texts, strict=True):
                 words = hasher.hashes(text.split())
                 every = hasher.rolling.runs(hasher.rolling.prefix(words), window)
                 starts, counts = np.array(flat[::2]), np.array(flat[1::2])
                 where = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 doc.append(np.full(len(where), doc_id))
+                own.append(np.full(len(where), row))
                 at.append(where)
                 found.append(every[where])
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(own)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "row", "at", "hash"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -139,48 +147,50 @@ def covered(n: int, flat: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, n_words, whole; per document with repeats: doc_id, repeats as flat lo, n of windows).
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text: the hash row tells rows of one doc_id apart; rows equal in both columns get equal results anyway."""
+    return id_text(docs).withColumn("row", F.xxhash64("text"))
 
-    The second holds every window that also starts in a document with a smaller doc_id. Rows with a null doc_id keep
-    their words and take none from others; rows that share a doc_id are one document, of which no row is smaller.
+
+def repeats(docs: DataFrame, files: int, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Of keyed docs, (per row: doc_id, row, n_words, whole; per row with repeats: doc_id, row, ranges as flat lo, n of windows).
+
+    The second holds every window that also starts in a row with a smaller doc_id.
     """
-    docs = id_text(docs)
-    found = stored(docs.mapInArrow(partial(_seeds, window=window, seed=seed), _SEED_SQL), "seeds")
-    heads = found.where(F.col("lo").isNull()).select("doc_id", "n_words", "whole")
-    blocks = found.where(F.col("lo").isNotNull()).select("doc_id", "lo", "n", "anchor", "content")
+    found = stored(docs.mapInArrow(partial(_seeds, window=window, seed=seed), _SEED_SQL), "seeds", files)
+    heads = found.where(F.col("lo").isNull()).select("doc_id", "row", "n_words", "whole")
+    blocks = found.where(F.col("lo").isNotNull()).select("doc_id", "row", "lo", "n", "anchor", "content")
 
     # one row for each content, whatever the number of documents that have it
-    contents = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "lo", "n")).alias("of"), F.count(F.lit(1)).alias("held"))
-    contents = stored(contents, "contents")
-    again = contents.where("first < last").select("content", "anchor", "first")
-    equal = blocks.join(again, ["anchor", "content"]).where("doc_id > first").select("doc_id", "lo", "n")
-
+    contents = blocks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # anchors with contents that differ, in different documents
-    split = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("a"), F.max("last").alias("b")).where("kinds > 1 and a < b").select("anchor")
-    # of these, all blocks in the first document of their content: the first one, and those where it repeats itself
-    apart = contents.join(split, "anchor", "left_semi")
-    twice = apart.where("held > 1").select(F.col("first").alias("doc_id"), "anchor", "content", F.col("of.lo").alias("at"))
-    later = blocks.join(twice, ["doc_id", "anchor", "content"]).where("lo > at").select("doc_id", "lo", "n")
-    ones = apart.select("of.*").unionByName(later)
-    wanted = ones.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.array("lo", "n")))).alias("blocks"))
-    windows = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "blocks").mapInArrow(partial(_extend, window=window), "doc_id long, at int, hash long"), "windows")
+    split = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("a"), F.max("last").alias("b")).where("kinds > 1 and a < b").select("anchor", F.lit(True).alias("apart"))
+    told = contents.join(split, "anchor", "left").select("anchor", "content", "first", F.coalesce("apart", F.lit(False)).alias("apart")).where("apart or last > first")
+    # a block that an earlier document has is a repeat; of anchors that are split, those of the first document are extended
+    marked = blocks.join(told, ["anchor", "content"]).where("doc_id > first or apart").select("doc_id", "row", "lo", "n", (F.col("doc_id") > F.col("first")).alias("again"))
+    marked = stored(marked, "blocks", files)
+    wanted = ranges(marked.where("not again").select("doc_id", "row", "lo", "n"))
+    windows = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "ranges").mapInArrow(partial(_extend, window=window), "doc_id long, row long, at int, hash long")
+    windows = stored(windows, "windows", files)
     earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    single = windows.join(earliest, "hash").where("doc_id > first").select("doc_id", F.col("at").alias("lo"), F.lit(1).alias("n"))
-    gone = equal.unionByName(single).groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.array("lo", "n")))).alias("repeats"))
-    return heads, gone
+    single = windows.join(earliest, "hash").where("doc_id > first").select("doc_id", "row", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    return heads, stored(ranges(marked.where("again").select("doc_id", "row", "lo", "n").unionByName(single)), "repeats", files)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256. Words are cut at blanks and tabs to carriage returns; null: none.
+    """Per row: doc_id, n_words, n_removed, kept_sha256. Words are cut at blanks and tabs to carriage returns.
 
-    Documents of fewer words than a window, null ids and an empty table lose nothing.
+    A null or empty text has no words. Texts of fewer words than a window lose nothing, and neither do rows with a null
+    doc_id, from which nothing is taken for others. Rows that share a doc_id are judged one by one, and none of them is
+    smaller than another. A very long text is taken whole. An empty table gives no rows. Other columns, whatever their
+    names, play no part.
     """
-    heads, gone = repeats(docs, window, seed)
-    gone = stored(gone, "repeats")
-    cut = id_text(docs).join(gone, "doc_id").select("doc_id", "text", "repeats").mapInArrow(partial(_cut, window=window), OUT)
-    kept = heads.join(gone.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("whole")).alias("kept_sha256"))
-    return kept.unionByName(cut)
+    docs = keyed(docs)
+    files = file_count(docs)
+    heads, gone = repeats(docs, files, window, seed)
+    cut = docs.join(gone, ["doc_id", "row"]).select("doc_id", "text", F.col("ranges").alias("repeats")).mapInArrow(partial(_cut, window=window), OUT)
+    kept = heads.join(gone.select("doc_id", "row"), ["doc_id", "row"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("whole")).alias("kept_sha256"))
+    return kept.unionByName(cut).coalesce(files)
 
 
 def op10_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
