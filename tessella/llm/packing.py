@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_text, stored, table
+from .common import file_count, id_text, stored, table
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 1024
@@ -115,20 +115,23 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]
 
     encode: gives, in a worker, a function from texts to their ids as little-endian unsigned 32-bit integers.
     Every document gets id 0 at its end, so a null or empty text is one id and no document is without pieces.
-    Repeated rows are packed as often as they occur; a null doc_id stays null. An empty table gives no rows.
+    Repeated rows are packed as often as they occur; a null doc_id stays null. A very long text is cut like any other.
+    An empty table gives no rows. Other columns of docs, whatever their names, play no part.
     """
-    spark = docs.sparkSession
     fill = partial(_fill, encode=encode, capacity=capacity, slack=slack, finest=finest)
-    pieces = stored(id_text(docs).mapInArrow(fill, _SCHEMA), "pieces")
+    pieces = stored(id_text(docs).mapInArrow(fill, _SCHEMA), "pieces", file_count(docs))
     result = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     whole = pieces.where(F.col("sequence_id").isNotNull()).select(*result)
 
-    # at most k-1 pieces of class k a worker
+    # at most k-1 pieces of class k a worker: a row for each class and worker, then running sums over these
+    left = pieces.where(F.col("sequence_id").isNull())
     by_class = Window.partitionBy("class")
+    counts = left.groupBy("class", "worker").agg(F.count(F.lit(1)).alias("n"))
+    places = counts.select("class", "worker", F.coalesce(F.sum("n").over(by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_class).alias("all"))
     ranked = (
-        pieces.where(F.col("sequence_id").isNull())
-        .withColumn("rank", F.row_number().over(by_class.orderBy("worker", "nth")) - 1)
-        .withColumn("full", F.floor(F.count(F.lit(1)).over(by_class) / F.col("class")) * F.col("class"))
+        left.join(places, ["class", "worker"])
+        .withColumn("rank", F.col("before") + F.col("nth"))
+        .withColumn("full", F.floor(F.col("all") / F.col("class")) * F.col("class"))
         .withColumn("bin", F.expr("rank div class"))
     )
     in_bin = Window.partitionBy("class", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +149,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]
         .applyInPandas(partial(_best_fit, capacity=capacity), COLUMNS + ", sequence_id long, offset long")
         .select(*result)
     )
-    return whole.unionByName(joined).unionByName(last)
+    return whole.unionByName(joined).unionByName(last).coalesce(file_count(docs))
 
 
 def _encode(path: str) -> Callable[[list[str]], list[bytes]]:

@@ -1,7 +1,7 @@
 """Token-id files, compressed by Re-Pair grammars.
 
 Documents are tokenized in ascending doc_id order and cut into shards of about SHARD_TOKENS ids. In each shard frequent
-pairs of symbols are replaced by nonterminals, round after round, until none is frequent. A shard's file holds the
+pairs of symbols are replaced by nonterminals, round after round, until none is frequent, or ROUNDS or 65,536 rules are reached. A shard's file holds the
 rules, the length of each rule's expansion, the symbols that are left, and for each document the place of its first symbol
 and of its first id. No rule crosses a document's end, so a document, or any range of its ids, is decoded on its own.
 The files are the binary column of a Parquet table: they go where Spark can write and are committed with its tasks.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_text, new_path, table
+from .common import file_count, id_text, new_path, table
 from .tokens import default_vocabulary, encoder
 
 SHARD_TOKENS = 1 << 20
@@ -196,23 +196,30 @@ def _write(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[lis
 
 
 def write_files(docs: DataFrame, path: str, encode: Callable[[], Callable[[list[str]], list[bytes]]], shard_tokens: int = SHARD_TOKENS) -> None:
-    """Writes the ids of all documents, in ascending doc_id order (null first), to the table of files at path."""
-    ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    """Writes the ids of all documents to the table of files at path.
+
+    Documents are in ascending doc_id order, null first; those of one doc_id in the order of their texts' hashes. Other columns
+    of docs, whatever their names, play no part.
+    """
+    docs = id_text(docs).withColumn("hash", F.xxhash64("text"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), file_count(docs))
+    ordered = docs.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     ordered.mapInArrow(partial(_write, encode=encode, shard_tokens=shard_tokens), FILES).write.parquet(path)
 
 
-_DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_DOCS = "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for before, data in zip(batch.column("before").to_pylist(), batch.column("file"), strict=True):
-            shard = ShardFile(data.as_buffer())
-            ids = memoryview(shard.expand(shard.symbols).tobytes())
-            ends = np.concatenate((shard.starts[1:], [shard.tokens]))
-            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(shard.starts.tolist(), ends.tolist(), strict=True)]
-            doc_ids = pa.array(shard.doc_ids, mask=shard.doc_ids == -(1 << 63))
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(shard.starts + before), pa.array(ends - shard.starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for part, shard, data in zip(batch.column("part").to_pylist(), batch.column("shard").to_pylist(), batch.column("file"), strict=True):
+            file = ShardFile(data.as_buffer())
+            ids = memoryview(file.expand(file.symbols).tobytes())
+            ends = np.concatenate((file.starts[1:], [file.tokens]))
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(file.starts.tolist(), ends.tolist(), strict=True)]
+            doc_ids = pa.array(file.doc_ids, mask=file.doc_ids == -(1 << 63))
+            n = len(crc)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), doc_ids, pa.array(file.starts), pa.array(ends - file.starts), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +230,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_before"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = files.select("part", "shard", inside.alias("shard_before")).join(parts, "part").select("part", "shard", (F.col("part_before") + F.col("shard_before")).alias("before"))
-    return files.select("part", "shard", "file").join(places, ["part", "shard"]).select("before", "file").mapInArrow(_read, _DOCS)
+    # files are decoded where they are read; only the documents' rows meet the places
+    return files.select("part", "shard", "file").mapInArrow(_read, _DOCS).join(places, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _encode(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -233,7 +241,8 @@ def _encode(path: str) -> Callable[[list[str]], list[bytes]]:
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, a null text as an empty one, each with id 0 at its end: written, read back, decoded.
 
-    Repeated doc_ids stay separate documents, one after the other; an empty table makes a table without files.
+    Repeated doc_ids stay separate documents, one after the other; a very long text is one document of one shard; an empty
+    table makes a table without files.
     """
     path = new_path(spark, "token-files")
     write_files(table(spark, sf_dir, "documents"), path, partial(_encode, default_vocabulary()))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_path, stored, table
+from .common import file_count, new_path, table
 
 #: Kinds in the order that breaks ties: pattern, group whose length counts, least length.
 RULES: tuple[tuple[str, str, int, int], ...] = (
@@ -55,9 +55,9 @@ def _scan_blobs(batches: Iterator[pa.RecordBatch], rules) -> Iterator[pa.RecordB
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ledger so far; None before its first part."""
+    """The ledger so far, each (blob, rule version) once, also where two runs have put it in; None before its first part."""
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(LEDGER).parquet(path).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -68,10 +68,12 @@ def scan_versions(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
     """Per row of versions (any columns with a text): the row's columns and spans, its findings.
 
     ledger: a folder; the part for unseen (blob, rule version) pairs is appended to it, then all rows are joined with it.
-    A null text is the empty blob. Versions of equal text share a blob. An empty table leaves the ledger as it is.
-    Columns named like the ledger's own stay untouched, as the join runs on a name of its own.
+    A null text is the empty blob, and a very long one a blob like any other. Versions of equal text share a blob, so
+    repeated rows get equal spans. An empty table leaves the ledger as it is. A column spans of versions is replaced by
+    the findings; columns named like the ledger's others stay untouched, as the join runs on a name of its own.
     """
     spark = versions.sparkSession
+    files = file_count(versions)
     name, text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), F.coalesce(F.col("text"), F.lit(""))
     version, seen = version_of(rules), read_ledger(spark, ledger)
     blobs = versions.select(name.alias("blob"), text.alias("text"))
@@ -80,10 +82,10 @@ def scan_versions(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         unseen = blobs.select("blob").distinct().join(known, "blob", "left_anti")
         blobs = blobs.join(unseen, "blob", "left_semi")
     once = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # of equal texts each task sends on one
-    once.mapInArrow(partial(_scan_blobs, rules=rules), LEDGER).write.mode("append").parquet(ledger)
+    once.mapInArrow(partial(_scan_blobs, rules=rules), LEDGER).coalesce(files).write.mode("append").parquet(ledger)
     entries = read_ledger(spark, ledger).where(F.col("rule_version") == version)
     found = entries.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    return versions.withColumn("__blob", name).join(found, "__blob", "left").drop("__blob").withColumn("spans", F.col("__spans")).drop("__spans")
+    return versions.withColumn("__blob", name).join(found, "__blob", "left").drop("__blob").withColumn("spans", F.col("__spans")).drop("__spans").coalesce(files)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -100,7 +102,10 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, ledger: str, mark: str = "[secret]", rules=RULES) -> DataFrame:
-    """docs with every secret in the text replaced by a mark; n_chars, where there is one, follows. All columns stay."""
+    """docs with every secret in the text replaced by a mark; n_chars, where there is one, follows. All columns stay.
+
+    A null text stays null. Repeated rows are all kept, and an empty table gives no rows.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
     found = scan_versions(rows, ledger, rules).select("__row", "spans", F.size("spans").alias("n"))
     marked = F.aggregate(

@@ -13,7 +13,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import stored, table
+from .common import file_count, stored, table
 
 SHARDS = 40
 SHARDS_PER_RACK, RACKS_PER_REGION = 5, 2
@@ -62,18 +62,20 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     A null doc_id has the key "null"; repeated doc_ids go together; a null text has no bytes. Slots number a shard's
     rows from 0 without gaps: in LANES parts by a hash of doc_id, each numbered by doc_id after the rows of the parts before it.
+    A very long text counts with all its bytes. An empty table gives no rows. Other columns, whatever their names, play no part.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = descend(descend(rows, key, layout(shards), "shard"), key, layout(shards + 1), "grown_shard")
-    rows = stored(rows.withColumn("__lane", F.expr(f"cast(conv(substring(md5(coalesce(cast(doc_id as string), 'null') || '/lane'), 1, 4), 16, 10) as int) % {LANES}")), "shards")
+    files = file_count(docs)
+    rows = stored(rows.withColumn("__lane", F.expr(f"cast(conv(substring(md5(coalesce(cast(doc_id as string), 'null') || '/lane'), 1, 4), 16, 10) as int) % {LANES}")), "shards", files)
     lanes = rows.groupBy("shard", "__lane").count()  # shards * LANES rows at most
     before = Window.partitionBy("shard").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lanes.select("shard", "__lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     in_lane = Window.partitionBy("shard", "__lane").orderBy("doc_id", "text_crc32", "size")
     placed = rows.withColumn("__nth", F.row_number().over(in_lane) - 1).join(F.broadcast(offsets), ["shard", "__lane"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__before") + F.col("__nth")).cast("long").alias("slot"), "grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__before") + F.col("__nth")).cast("long").alias("slot"), "grown_shard").coalesce(files)
 
 
 def op6_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
