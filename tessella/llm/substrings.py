@@ -170,7 +170,8 @@ def repeats(docs: DataFrame, files: int, window: int = WINDOW, seed: int = SEED)
     marked = blocks.join(told, ["anchor", "content"]).where("doc_id > first or apart").select("doc_id", "row", "lo", "n", (F.col("doc_id") > F.col("first")).alias("again"))
     marked = stored(marked, "blocks", files)
     wanted = ranges(marked.where("not again").select("doc_id", "row", "lo", "n"))
-    windows = docs.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "ranges").mapInArrow(partial(_extend, window=window), "doc_id long, row long, at int, hash long")
+    # ranges grow with the documents: both sides are dealt by key at every size, never broadcast
+    windows = docs.join(wanted.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "ranges").mapInArrow(partial(_extend, window=window), "doc_id long, row long, at int, hash long")
     windows = stored(windows, "windows", files)
     earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
     single = windows.join(earliest, "hash").where("doc_id > first").select("doc_id", "row", F.col("at").alias("lo"), F.lit(1).alias("n"))
@@ -188,8 +189,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     docs = keyed(docs)
     files = file_count(docs)
     heads, gone = repeats(docs, files, window, seed)
+    gone = gone.hint("merge")
     cut = docs.join(gone, ["doc_id", "row"]).select("doc_id", "text", F.col("ranges").alias("repeats")).mapInArrow(partial(_cut, window=window), OUT)
-    kept = heads.join(gone.select("doc_id", "row"), ["doc_id", "row"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("whole")).alias("kept_sha256"))
+    kept = heads.join(gone.select("doc_id", "row").hint("merge"), ["doc_id", "row"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("whole")).alias("kept_sha256"))
     return kept.unionByName(cut).coalesce(files)
 
 
