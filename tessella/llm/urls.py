@@ -14,16 +14,14 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import file_count, stored, table
 
 #: (host, path, verdict); the rule of the longest host and path wins.
 RULES: tuple[tuple[str, str, str], ...] = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Bound of the labelled URLs that trees are trained on: those of the least hash of all labelled ones.
 SAMPLE = 20_000
 ROUNDS, DEPTH, RATE, L2, LEAST = 12, 3, 0.4, 1.0, 20
-#: Values of a statistic (host ending, domain, directory) that have a share of their own: the most frequent of the sample.
-ENDINGS = 64
-#: Values of a feature are capped here, so that a histogram is bounded.
+#: Features are binned to whole numbers from 0 to TOP, so that a histogram is bounded; what lies beyond is in the last bin.
 TOP = 255
 _SCALE = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,21 +78,12 @@ def statistics() -> dict[str, Column]:
 class Model:
     """features by name; trees of nested tuples (feature, value, left, right) with leaves of whole numbers over _SCALE."""
 
-    #: by statistic, its values' shares of blocked URLs, times TOP
-    shares: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: (statistic, value, share): shares of blocked URLs, times TOP, of all values in the bounded sample; None without a sample
+    shares: DataFrame | None = None
     prior: int = TOP // 2
     base: int = 0
     trees: list = field(default_factory=list)
 
-    def columns(self) -> dict[str, Column]:
-        out = lexical()
-        for name, of in statistics().items():
-            share = F.lit(self.prior)
-            for value, known in self.shares.get(name, {}).items():
-                share = F.when(of == value, F.lit(known)).otherwise(share)
-            out[name] = share
-        return out
-
     def margin(self) -> Column:
         """Of block over allow, times _SCALE, over columns with the features' names."""
         return sum((_expression(t) for t in self.trees), F.lit(self.base).cast("long"))
@@ -117,28 +106,44 @@ def _node(tree, number: int = 1) -> Column:
     return F.when(F.col(f"__x_{feature}") <= value, _node(left, 2 * number)).otherwise(_node(right, 2 * number + 1))
 
 
+def feature_names() -> list[str]:
+    return [*lexical(), *statistics()]
+
+
 def _featured(pages: DataFrame, model: Model) -> DataFrame:
-    return pages.withColumns({f"__x_{k}": v for k, v in model.columns().items()})
+    """Adds a column __x_ for each feature. A statistic's value that the sample doesn't have gets the prior share."""
+    out = pages.withColumns({f"__x_{k}": v for k, v in lexical().items()})
+    for name, of in statistics().items():
+        if model.shares is None:
+            out = out.withColumn(f"__x_{name}", F.lit(model.prior))
+            continue
+        own = F.broadcast(model.shares.where(F.col("statistic") == name).select(F.col("value").alias("__value"), F.col("share").alias("__share")))  # at most as many rows as the sample
+        out = out.join(own, of == F.col("__value"), "left").withColumn(f"__x_{name}", F.coalesce("__share", F.lit(model.prior))).drop("__value", "__share")
+    return out
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, depth: int = DEPTH) -> Model:
-    """Fits the trees to labelled (url, host, path, block as 0 or 1). Without rows of both kinds the model is a constant."""
-    chosen = stored(labelled.where("url is not null and block is not null").orderBy(F.xxhash64("url"), "url", "block").limit(sample).select("url", "host", "path", "block"), "urls")
+    """Fits the trees to labelled (url, host, path, block as 0 or 1). Without rows of both kinds the model is a constant.
+
+    The sample is of different URLs, each weighted with its number of rows, so copies of one don't crowd out others.
+    """
+    distinct = labelled.where("url is not null and block is not null").groupBy("url", "host", "path", "block").agg(F.count(F.lit(1)).alias("weight"))
+    chosen = stored(distinct.orderBy(F.xxhash64("url"), "url", "block").limit(sample), "urls")
     model = Model()
-    total = chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).first()
-    n, b = total.n, total.b or 0
+    total = chosen.agg(F.sum("weight").alias("n"), F.sum(F.col("block") * F.col("weight")).alias("b")).first()
+    n, b = total.n or 0, total.b or 0
     if not n:
         return model
     model.base = round(_SCALE * math.log((b + 1) / (n - b + 1)))
     if b in (0, n):
         return model
     model.prior = TOP * b // n
-    for name, of in statistics().items():
-        found = chosen.groupBy(of.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "e").limit(ENDINGS).collect()
-        model.shares[name] = {r.e: int(TOP * (r.b + 8 * b / n) / (r.n + 8)) for r in found}
-    rows = _featured(chosen, model)
-    names = list(model.columns())
-    rows = stored(rows.groupBy("block", *[f"__x_{k}" for k in names]).agg(F.count(F.lit(1)).alias("__n")).coalesce(1), "features")  # at most sample rows
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), of.alias("value")) for k, of in statistics().items()]))
+    counted = chosen.select(values.alias("s"), "block", "weight").groupBy("s.statistic", "s.value").agg(F.sum("weight").alias("n"), F.sum(F.col("block") * F.col("weight")).alias("b"))
+    model.shares = stored(counted.select("statistic", "value", F.expr(f"cast(({TOP} * (b * {n} + 8 * {b})) div ({n} * (n + 8)) as int)").alias("share")), "shares", 1)
+    names = feature_names()
+    rows = _featured(chosen, model).groupBy("block", *[f"__x_{k}" for k in names]).agg(F.sum("weight").alias("__n"))
+    rows = stored(rows, "features", 1)  # at most sample rows
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-model.margin() / float(_SCALE)))
         part = rows.withColumn("__g", F.round((F.col("block") - p) * _SCALE).cast("long") * F.col("__n")).withColumn("__q", F.round(p * (1 - p) * _SCALE).cast("long") * F.col("__n"))
@@ -196,7 +201,8 @@ def judged(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, margin (the model's, of block over allow).
 
     A null url, or one without ://, has an empty host and path, fits no rule, and goes to the model like any other.
-    Repeated rows are judged one by one; other columns of pages play no part.
+    Repeated rows are judged one by one; an empty table gives no rows. Other columns of pages, whatever their names, play
+    no part.
     """
     rows = _featured(with_parts(pages.select("page_id", "url"), rules), model).withColumn("margin", model.margin() / float(_SCALE))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("margin") > 0, "block").otherwise("allow")).alias("verdict"), "margin")
@@ -208,4 +214,4 @@ def labelled_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op7_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judged(pages, train(labelled_by_rules(pages)))
+    return judged(pages, train(labelled_by_rules(pages))).coalesce(file_count(pages))
