@@ -9,9 +9,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from .strategies import balance_pixels, small
 
+#: Distances below EXACT are smoothed one by one, the others in CELLS parts of the kernel's width.
+EXACT, CELLS = 1024, 50
 _EXPECTED = "chrom1 string, chrom2 string, dist long, expected double"
 
 
+def _smoothed(total: np.ndarray, pairs: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both under a Gaussian kernel of this width in log10 of distance, without distances 0 and 1.
+
+    Distances from EXACT on are gathered in cells of width / CELLS in log10, and their values lie on lines between those of
+    cells; so the work follows the logarithm of a chromosome's length.
+    """
+    position = np.log10(np.arange(len(total)) + 1.0)
+    cell = np.arange(len(total))
+    far = cell >= EXACT
+    cell[far] = EXACT + np.unique(np.floor((position[far] - np.log10(EXACT + 1)) * CELLS / width), return_inverse=True)[1]
+    total, pairs = total.copy(), pairs.copy()
+    total[:2] = pairs[:2] = 0
+    sums, numbers, at = np.bincount(cell, total), np.bincount(cell, pairs), np.bincount(cell, position) / np.bincount(cell)
+    nodes = np.unique(np.append(at, position[-1:]))  # lines reach to the last distance
+    out = np.zeros((2, len(nodes)))
+    for lo in range(0, len(nodes), 1024):
+        kernel = np.exp(-0.5 * ((nodes[lo : lo + 1024, None] - at[None, :]) / width) ** 2)
+        out[:, lo : lo + 1024] = kernel @ sums, kernel @ numbers
+    return np.interp(position, nodes, out[0]), np.interp(position, nodes, out[1])
+
+
 def _valid_pairs(rows, smooth: float | None):
     """Of one chromosome: balanced sums by distance and its bins -> expected by distance. Pairs of unmasked bins are counted
     by autocorrelation.
@@ -28,14 +51,7 @@ def _valid_pairs(rows, smooth: float | None):
     total = np.zeros(n)
     total[sums["at"].to_numpy()] = sums["value"].to_numpy()
     if smooth:
-        position = np.log10(np.arange(n) + 1.0)
-        for lo in range(0, n, 1024):  # by blocks: memory in proportion to the chromosome
-            kernel = np.exp(-0.5 * ((position[lo : lo + 1024, None] - position[None, :]) / smooth) ** 2)
-            kernel[:, :2] = 0
-            if lo == 0:
-                smooth_sum, smooth_pairs = np.zeros(n), np.zeros(n)
-            smooth_sum[lo : lo + 1024], smooth_pairs[lo : lo + 1024] = kernel @ total, kernel @ pairs
-        total, pairs = smooth_sum, smooth_pairs
+        total, pairs = _smoothed(total, pairs, smooth)
     with np.errstate(divide="ignore", invalid="ignore"):
         expected = np.where(pairs > 0, total / pairs, np.nan)
     out = pd.DataFrame({"chrom1": rows["chrom"].iloc[0], "chrom2": rows["chrom"].iloc[0], "dist": np.arange(n), "expected": expected})

@@ -23,6 +23,15 @@ def genomic_links(bins: DataFrame, edges: DataFrame, default_link: float = 1) ->
     return missing.select(*[own.get(c, blank(kinds[c])).cast(kinds[c]).alias(c) for c in edges.columns])
 
 
+def numbered(bins: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """bins with node_id: their place in the order of bin_id, from 0, counted within spans of ids after the spans before."""
+    of = F.floor(F.col("bin_id") / span).alias("__span")
+    spans = bins.groupBy(of).agg(F.count(F.lit(1)).alias("__n"))  # a row for each span
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("__span").orderBy("bin_id")) - 1
+    return bins.withColumn("__span", of).withColumn("__nth", nth).join(spans.select("__span", before.alias("__before")), "__span").select(*[F.col(f"`{c}`") for c in bins.columns], (F.col("__before") + F.col("__nth")).alias("node_id"))
+
+
 class ContactGraph:
     """vertices: bins with id; edges: pixels with src, dst and the flag genomic. Self loops are left out."""
 
@@ -47,7 +56,7 @@ class ContactGraph:
 
     def get_bins(self, *, drop_node_id: bool = True, bare: bool = False) -> DataFrame:
         out = self._bins.select("bin_id", "chrom", "start", "end") if bare else self._bins
-        return out if drop_node_id else out.withColumn("node_id", F.row_number().over(Window.orderBy("bin_id")) - 1)
+        return out if drop_node_id else numbered(out)
 
     def get_pixels(self, *, keep_genomic: bool = False) -> DataFrame:
         """Edges by bin ids; after a reconstruction all of them, with a count of 0 where there was no pixel."""

@@ -31,7 +31,9 @@ def trimmed(levels: DataFrame) -> DataFrame:
 
 def dense_levels(levels: DataFrame) -> DataFrame:
     """Cluster ids of each level become 1, 2, ... in their order."""
-    return levels.withColumn("cluster", F.dense_rank().over(Window.partitionBy("level").orderBy("cluster")).cast("int"))
+    # only the different clusters are ranked, not all bins of a level
+    ranks = levels.select("level", "cluster").distinct().withColumn("__rank", F.row_number().over(Window.partitionBy("level").orderBy("cluster")).cast("int"))
+    return levels.join(ranks, ["level", "cluster"]).withColumn("cluster", F.col("__rank")).select(*levels.columns)
 
 
 def wide_levels(levels: DataFrame, n: int) -> DataFrame:

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, functions as F
 
 Strategy = Callable[[DataFrame], DataFrame]
 BIN_BASE, PIXEL_BASE = ("bin_id", "chrom", "start", "end"), ("bin1_id", "bin2_id", "count")
-#: Rows of bins up to which they are broadcast to a join with pixels.
-BROADCAST_BINS = 2_000_000
+#: Bytes of bins, by the width of their columns, up to which they are broadcast to a join with pixels.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(bins: DataFrame, limit: int = BROADCAST_BINS) -> DataFrame:
-    """bins, marked for broadcast where their number is proven to be small."""
-    return F.broadcast(bins) if bins.limit(limit + 1).count() <= limit else bins
+def small(bins: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """bins, marked for broadcast where their size is proven to be small: by the plan's own bound, else by a count that is
+    kept with the frame, so that it runs once.
+    """
+    known = bins.__dict__.get("_tessella_small")
+    if known is None:
+        known = int(str(bins._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+        if not known:
+            rows = limit // max(1, int(bins._jdf.schema().defaultSize()))
+            known = bins.limit(rows + 1).count() <= rows
+        bins.__dict__["_tessella_small"] = known
+    return F.broadcast(bins) if known else bins
 
 
 def subset_region(pixels: DataFrame, *, extent: tuple[int, int]) -> DataFrame:

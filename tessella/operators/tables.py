@@ -21,6 +21,15 @@ from .strategies import BIN_BASE, PIXEL_BASE, Strategy, annotate_pixels, balance
 STORE_SIZE = 10_000_000
 
 
+def written_back(pixels: DataFrame, edges: DataFrame, names: list[str], *, add: bool) -> DataFrame:
+    """pixels with the columns names of edges, sorted by both ids; add: with the edges that are no pixels, and their count."""
+    new = edges.select("bin1_id", "bin2_id", F.col("count").alias("__count"), *[F.col(f"`{c}`") for c in names])
+    out = pixels.join(new, ["bin1_id", "bin2_id"], "full_outer" if add else "left")
+    if add:
+        out = out.withColumn("count", F.coalesce("count", "__count", F.lit(0)).cast(pixels.schema["count"].dataType))
+    return out.drop("__count").orderBy("bin1_id", "bin2_id")
+
+
 class Table:
     def __init__(self, df: DataFrame, store_size: int = STORE_SIZE) -> None:
         self._df, self._store_size = df, store_size
@@ -180,18 +189,18 @@ class PixelTable(Table):
         self._df = found(self._df, column)
 
     def add_clustering(self, region: str | None = None, on: str = "count", *, marginals: str = "no", seed: int = 42, effort: int = 30) -> DataFrame:
-        """Clusters a region and joins levels and probabilities to bins and pixels by their ids; null outside the region."""
+        """Clusters a region and joins levels and probabilities to bins and pixels by their ids; null outside the region.
+
+        Both tables are in order after that. With marginals "pixels" edges that the table lacks come in with their own count.
+        """
         graph = self.get_graph(region)
         levels = graph.compute_clustering(on=on, marginals=marginals, seed=seed, effort=effort)
         bins, edges = graph.get_bins(), graph.get_pixels()
         new_bins = [c for c in bins.columns if c not in self._bins.col_names]
         new_edges = [c for c in edges.columns if c not in self._df.columns and c != "genomic"]
         own = drop_existing(self._bins.df, new_bins, BIN_BASE)
-        self._bins._df = own.join(bins.select("bin_id", *[F.col(f"`{c}`") for c in new_bins]), "bin_id", "left")
-        pixels = drop_existing(self._df, new_edges, PIXEL_BASE)
-        self._df = pixels.join(edges.select("bin1_id", "bin2_id", *[F.col(f"`{c}`") for c in new_edges]), ["bin1_id", "bin2_id"], "full_outer" if marginals == "pixels" else "left")
-        if marginals == "pixels":
-            self._df = self._df.withColumn("count", F.coalesce("count", F.lit(0)))
+        self._bins._df = own.join(bins.select("bin_id", *[F.col(f"`{c}`") for c in new_bins]), "bin_id", "left").orderBy("bin_id")
+        self._df = written_back(drop_existing(self._df, new_edges, PIXEL_BASE), edges, new_edges, add=marginals == "pixels")
         return levels
 
     def save(self, path: str) -> None:

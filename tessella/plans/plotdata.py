@@ -11,8 +11,10 @@ from ..functions.regions import RegionNotFound
 from ..operators.tables import BinTable, PixelTable
 
 TRANSFORMS = {"raw": lambda c: c, "log2": F.log2, "log10": F.log10}
+#: Widths of styles.
 WIDTHS_CM = {"publication": 9, "slides": 25}
-MODALITIES = ("triangular", "matrix", "rectangular")
+#: How a matrix is shown.
+MODALITIES = ("matrix", "triangular", "window")
 
 
 def infer_track(column: str) -> tuple[str, int | None]:
@@ -81,11 +83,20 @@ class PixelTrack:
         return self.pixels.get_matrix(region, value_col=self.value_col)
 
 
-def table_data(table: PixelTable, region: str, *, value_col: str = "count", modality: str = "triangular") -> dict:
+def table_data(table: PixelTable, region: str, *, value_col: str = "count", modality: str = "matrix", depth_ratio: float = 0.5) -> dict:
+    """region, modality, cells. Unless the whole matrix is shown, only cells up to depth_ratio of it from the diagonal count,
+    and only the upper half: rotated, it is a triangle, and a window is its part of that depth over the region.
+    """
     if modality not in MODALITIES:
         raise ValueError(f"unknown modality {modality!r}")
+    if not 0 < depth_ratio <= 1:
+        raise ValueError("depth_ratio is a share of the height, over 0 and up to 1")
     region = table.bins.extended(region)
-    return {"region": region, "modality": modality, "cells": PixelTrack(table, value_col=value_col).cells(region)}
+    cells = PixelTrack(table, value_col=value_col).cells(region)
+    if modality != "matrix":
+        low, high = table._bounds(region)
+        cells = cells.where((F.col("j") >= F.col("i")) & (F.col("j") - F.col("i") <= depth_ratio * (high - low)))
+    return {"region": region, "modality": modality, "cells": cells}
 
 
 def clustering_data(table: PixelTable, region: str, *, modality: str = "pixels", min_level: int = 0, max_level: int | None = None) -> dict[str, DataFrame | None]:

@@ -10,6 +10,8 @@ from ..functions.normalisers import log_count
 from ..operators import annotate, expected, graph, levels
 from ..operators.overlap import overlap_join
 from ..operators.strategies import annotate_pixels, balance_pixels, subset_region
+from ..operators.tables import BinTable, PixelTable, written_back
+from ..sources.workdir import new_path
 from ..streaming.chunks import pixel_counts
 from .derived import SIZE, SQL as TABLES, bin_table, bins, pixel_table, pixels, states
 
@@ -270,9 +272,19 @@ def oe_pixels(spark, sf):
     return expected.expected_normalized_pixels(balanced, expected.get_expected_counts(own, p, smooth=None)).withColumn("count", F.round("count", 6))
 
 
-@query()
+@query(f"""{_EXPECT.replace("expected as (", "plain as (")},
+d as (
+  select d.chrom, d.dist, coalesce(n, 0) as n, coalesce(s.v, 0) as v
+  from (select chrom, bin_id - min(bin_id) over (partition by chrom) as dist from bins) d
+  left join (select a.chrom, c.bin_id - a.bin_id as dist, count(*) as n from bins a join bins c on c.chrom = a.chrom and c.bin_id >= a.bin_id and a.weight is not null and c.weight is not null group by all) n on n.chrom = d.chrom and n.dist = d.dist
+  left join (select chrom1, bin2_id - bin1_id as dist, sum(v) as v from w where chrom1 = chrom2 group by all) s on s.chrom1 = d.chrom and s.dist = d.dist),
+k as (select a.chrom, a.dist, exp(-0.5 * power((log10(a.dist + 1) - log10(c.dist + 1)) / 0.1, 2)) as k, c.n, c.v from d a join d c on c.chrom = a.chrom and c.dist >= 2),
+smooth as (select chrom, dist, case when dist >= 2 and sum(k * n) > 0 then sum(k * v) / sum(k * n) end as expected from k group by chrom, dist)
+select chrom as chrom1, chrom as chrom2, cast(dist as bigint) as dist, round(expected, 9) as expected from smooth
+union all select d.chrom, d.chrom, cast(d.dist as bigint), null from d where not exists (select 1 from smooth s where s.chrom = d.chrom and s.dist = d.dist)
+union all select chrom1, chrom2, cast(dist as bigint), round(expected, 9) from trans""")
 def expected_smoothed(spark, sf):
-    return expected.get_expected_counts(bin_table(spark, sf).df, pixels(spark, sf))
+    return _rounded(expected.get_expected_counts(bin_table(spark, sf).df, pixels(spark, sf)), "expected")
 
 
 _LINKS = f"""e as (select bin1_id, bin2_id, "count", false as genomic from pixels where "count" >= {SPARSE} and bin1_id <> bin2_id),
@@ -420,3 +432,53 @@ from pixels p left join c on p.bin1_id = c.bin1_id and p.bin2_id = c.bin2_id""")
 def pix_group_whole(spark, sf):
     p = pixels(spark, sf)
     return levels.pixel_groups(p, p.where("count % 2 = 0").select("bin1_id", "bin2_id", F.round(F.col("count") / 100.0, 9).alias("pix_prob")))
+
+
+@query('x as (select 1) select bin1_id, bin2_id, "count" from pixels')
+def saved_and_loaded(spark, sf):
+    path = new_path(spark, "saved")
+    pixel_table(spark, sf).save(path)
+    return PixelTable.load(path, spark).df.select("bin1_id", "bin2_id", "count")
+
+
+@query('x as (select 1) select bin_id, chrom, "start", "end" from bins')
+def saved_and_loaded_bins(spark, sf):
+    path = new_path(spark, "saved")
+    bin_table(spark, sf).save(path)
+    return BinTable.load(path, spark).df.select("bin_id", "chrom", "start", "end")
+
+
+@query(f"""{_ASIA}, up as (select bin1_id - lo as i, bin2_id - lo as j, cast("count" as double) as value from sub, ext),
+al as (select i, j, value from up union all select j, i, value from up where i <> j), side as (select unnest(range(0, 9 - 2)) as k)
+select a.k as i, c.k as j, value from side a cross join side c left join al on al.i = a.k and al.j = c.k""")
+def matrix_of_range(spark, sf):
+    """The bounds of a region with start and end: as many cells a side as bins begin in it."""
+    return pixel_table(spark, sf).get_matrix_cells(REGION, complete=True)
+
+
+@query(f"{_ALL_CELLS} select i, j, round(log2(value), 9) as value from up where i <> j union all select j, i, round(log2(value), 9) from up where i <> j")
+def plot_log2_whole(spark, sf):
+    from .plotdata import PixelTrack
+
+    return PixelTrack(pixel_table(spark, sf), transform="log2").cells(None).where("i <> j").withColumn("value", F.round("value", 9))
+
+
+@query(f"""ext as (select min(bin_id) as lo, max(bin_id) + 1 as hi from bins where chrom = '{WHOLE}')
+select bin1_id - lo as i, bin2_id - lo as j, round(log10("count"), 9) as value from pixels, ext
+where bin1_id >= lo and bin2_id < hi and bin2_id - bin1_id <= 0.25 * (hi - lo)""")
+def plot_window(spark, sf):
+    from .plotdata import table_data
+
+    return table_data(pixel_table(spark, sf), WHOLE, modality="window", depth_ratio=0.25)["cells"].withColumn("value", F.round("value", 9))
+
+
+@query("""g as (select bin1_id, bin2_id, "count", "count" % 5 as score from pixels where bin1_id <> bin2_id and "count" % 3 = 0
+  union all select bin1_id, bin2_id + 100000, 1, 7 from pixels where "count" % 7 = 0)
+select coalesce(p.bin1_id, g.bin1_id) as bin1_id, coalesce(p.bin2_id, g.bin2_id) as bin2_id, coalesce(p."count", g."count") as "count", score
+from pixels p full outer join g on g.bin1_id = p.bin1_id and g.bin2_id = p.bin2_id""")
+def written_back_edges(spark, sf):
+    """Given edges, some of which are no pixels, joined to the pixels: those come in with their own count."""
+    p = pixels(spark, sf)
+    own = p.where("bin1_id <> bin2_id and count % 3 = 0").select("bin1_id", "bin2_id", "count", (F.col("count") % 5).alias("score"))
+    more = p.where("count % 7 = 0").select("bin1_id", (F.col("bin2_id") + 100000).alias("bin2_id"), F.lit(1).cast("long").alias("count"), F.lit(7).cast("long").alias("score"))
+    return written_back(p.select("bin1_id", "bin2_id", "count"), own.unionByName(more), ["score"], add=True)

@@ -33,11 +33,19 @@ def load_dataset(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df in the place of the table that it may be read from."""
+    """Writes df in the place of the table that it may be read from. The old table is set aside first and only deleted when
+    the new one is in place; if that fails it is put back.
+    """
     spark = df.sparkSession
     files, where = _hadoop(spark, path)
     _, fresh = _hadoop(spark, path + ".new")
+    _, aside = _hadoop(spark, path + ".old")
     df.write.mode("overwrite").parquet(path + ".new")
-    files.delete(where, True)
-    files.rename(fresh, where)
+    files.delete(aside, True)
+    if files.exists(where) and not files.rename(where, aside):
+        raise OSError(f"{path} can't be set aside")
+    if not files.rename(fresh, where):
+        files.rename(aside, where)
+        raise OSError(f"{path} can't be replaced")
+    files.delete(aside, True)
     spark.catalog.refreshByPath(path)

@@ -9,12 +9,13 @@ import pytest
 
 from tessella.functions.regions import RegionNotFound, parse_region
 from tessella.operators.annotate import annotated_bins
-from tessella.operators.clustering import BlockModel, cluster_graph
-from tessella.operators.expected import expected_normalized_pixels, get_expected_counts
-from tessella.operators.graph import ContactGraph
-from tessella.operators.levels import kept_levels
+from tessella.operators.clustering import BlockModel, _absent, cluster_graph, default_probability
+from tessella.operators.expected import _smoothed, expected_normalized_pixels, get_expected_counts
+from tessella.operators.graph import ContactGraph, numbered
+from tessella.operators.levels import dense_levels, kept_levels
 from tessella.operators.tables import BinTable, PixelTable
-from tessella.plans.plotdata import BinClusters, comparison_data, infer_track, style_width, table_data
+from tessella.plans.plotdata import MODALITIES, BinClusters, comparison_data, infer_track, style_width, table_data
+from tessella.sources.dataset import replace_table
 from tessella.sources.frames import as_frame, convert
 from tessella.sources.store import ContactStore
 from tessella.streaming.chunks import pixel_counts, rechunk
@@ -193,6 +194,58 @@ def test_graph_and_clustering(table):
     assert BinClusters(table.bins, 0).fetch_data("chrII:0-120000").count() == 12 and BinClusters(table.bins, 0).fetch_data("chrX") is None
 
 
+def test_a_reconstruction_adds_edges(spark, chr2):
+    """Two groups of bins, each with all its pairs but one: the missing ones come in as group 1, with a count and a level."""
+    pairs = [(a, b, 9, 0.9) for g in (range(0, 8), range(8, 16)) for a, b in itertools.combinations(g, 2) if (a, b) not in ((0, 5), (9, 14))]
+    t = PixelTable(spark.createDataFrame(pairs, "bin1_id long, bin2_id long, count long, score double"), bins=chr2.where("bin_id < 16"))
+    t.add_clustering(on="score", marginals="pixels", effort=10)
+    rows = t.df.collect()
+    assert [(r.bin1_id, r.bin2_id) for r in rows] == sorted((r.bin1_id, r.bin2_id) for r in rows)
+    groups = {(r.bin1_id, r.bin2_id): r.pix_group for r in rows}
+    added = {p for p, g in groups.items() if g == 1}
+    # the default score is low, so not every pair comes in; but some do, and none that is there
+    assert added and not added & {p[:2] for p in pairs} and all(0 < r.pix_prob <= 1 and r["level_(0)"] is not None for r in rows if r.pix_group == 1)
+    links = {(7, 8)}
+    assert all(r["count"] == (9 if (r.bin1_id, r.bin2_id) in {p[:2] for p in pairs} else 1 if (r.bin1_id, r.bin2_id) in links else 0) for r in rows)
+
+
+def test_absent_pairs_follow_the_default_probability():
+    assert default_probability(3.0, 4) == 0.5 and default_probability(0.0, 1) == 0
+    n, r = 40, np.random.default_rng(3)
+    a, b = np.array(list(itertools.combinations(range(n), 2))[::3]).T
+    drawn = [_absent(np.zeros(n, int), a, b, 100.0, 0.5, 0.5, r) for _ in range(200)]
+    edges = set((a * n + b).tolist())
+    assert not any(edges & set(d.tolist()) or len(d) != len(set(d.tolist())) for d in drawn)
+    q = 100 / (n * (n - 1) / 2)
+    assert abs(np.mean([len(d) for d in drawn]) / ((n * (n - 1) / 2 - len(edges)) * q) - 1) < 0.1
+
+
+def test_smoothing_far_distances_in_cells():
+    n, r = 6_000, np.random.default_rng(5)
+    total, pairs = r.random(n) * 100, np.arange(n, 0, -1.0)
+    position = np.log10(np.arange(n) + 1.0)
+    kernel = np.exp(-0.5 * ((position[:, None] - position[None, :]) / 0.1) ** 2)
+    kernel[:, :2] = 0
+    one, two = _smoothed(total, pairs, 0.1)
+    assert np.allclose(one / two, (kernel @ total) / (kernel @ pairs), rtol=1e-3)
+    one, two = _smoothed(total[:1000], pairs[:1000], 0.1)
+    assert np.allclose(one / two, (kernel[:1000, :1000] @ total[:1000]) / (kernel[:1000, :1000] @ pairs[:1000]), rtol=1e-12)
+
+
+def test_node_ids_and_dense_levels(spark):
+    bins = spark.createDataFrame([(i,) for i in (5, 900, 3, 70, 71, 2_000)], "bin_id long")
+    assert {r.bin_id: r.node_id for r in numbered(bins, 64).collect()} == {3: 0, 5: 1, 70: 2, 71: 3, 900: 4, 2_000: 5}
+    given = spark.createDataFrame([(1, 0, 7), (2, 0, 3), (3, 0, 7), (1, 1, 9)], "bin_id long, level int, cluster long")
+    assert sorted(map(tuple, dense_levels(given).collect())) == [(1, 0, 2), (1, 1, 1), (2, 0, 1), (3, 0, 2)]
+
+
+def test_a_table_is_replaced_by_what_is_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    replace_table(spark.read.parquet(path).where("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_a_sweep_visits_every_vertex():
     n = 500
     a, b = np.arange(n - 1), np.arange(1, n)
@@ -233,6 +286,12 @@ def test_plot_data(table):
         with pytest.raises(ValueError):
             bad()
     assert [d["inverted"] for d in comparison_data([table, table], "chrII")] == [False, True]
+    shown = {m: table_data(table, "chrII", modality=m, depth_ratio=0.25)["cells"].toPandas() for m in MODALITIES}
+    whole = shown["matrix"]
+    near = whole[(whole.j >= whole.i) & (whole.j - whole.i <= 0.25 * 82)]
+    assert len(shown["window"]) == len(shown["triangular"]) == len(near) < len(whole)
+    with pytest.raises(ValueError):
+        table_data(table, "chrII", modality="window", depth_ratio=0)
 
 
 def test_frames_and_streams(spark, tmp_path):
