@@ -54,7 +54,7 @@ def lexical() -> dict[str, Column]:
     raw = {
         "url_length": F.length(url),
         "host_length": F.length("host"),
-        "host_labels": _times(F.col("host"), "[^.]"),
+        "host_labels": _times(F.col("host"), "[.]"),
         "path_length": F.length("path"),
         "depth": F.size(F.filter(F.split(F.col("path"), "/"), lambda x: x != "")),
         "digits": F.floor(200 * _times(url, "[0-9]") / n),
