@@ -101,6 +101,11 @@ def test_quality_rules(spark, docs, empty):
     want = dict(zip([(i, t) for i, t in TEXTS], scores_of([t for _, t in TEXTS], [i in fits for i, _ in TEXTS])))
     for r in got.collect():
         assert r.score == pytest.approx(want[r.doc_id, r.text], abs=1e-9)
+    held = [r.score for r in got.collect() if r.doc_id in {2, 3, 9, 11} - fits and r.n_words >= 10]
+    low, middle = np.quantile(held, quality.QUANTILE), np.quantile(held, 0.5)
+    cut = low - quality.MARGIN * (middle - low)
+    kept = {(r.doc_id, r.text): r.kept for r in got.collect()}
+    assert all(k == (not base_of(t)[5] and want[i, t] >= cut) for (i, t), k in kept.items() if abs(want[i, t] - cut) > 1e-9) and len(set(kept.values())) == 2
     again = quality.judged(docs, labels.limit(0))
     assert all(r.kept == (not r.base_failed) for r in again.collect())
     assert quality.judged(empty, labels).count() == 0
@@ -453,6 +458,83 @@ def test_trees_on_held_out_urls(spark):
     assert (got.block == got.said).mean() > 0.95
 
 
+def features_of(url, host, path, shares, prior):
+    from math import floor, log2
+
+    n, u, query = max(len(url), 1), url, re.search(r"\?([^#]*)", url)
+    entropy = 0.0
+    for c in dict.fromkeys(u):
+        entropy -= u.count(c) / n * log2(u.count(c) / n)
+    count = lambda pattern, x: len(re.findall(pattern, x))
+    raw = {
+        "url_length": len(u), "host_length": len(host), "host_labels": host.count("."), "path_length": len(path), "depth": len([x for x in path.split("/") if x]), "digits": floor(200 * count("[0-9]", u) / n), "path_digits": count("[0-9]", path), "entropy": floor(round(40 * entropy, 6)),
+        "parameters": len(query[1].split("&")) if query and query[1] else 0, "fragment": int("#" in u), "secure": int(u.startswith("https://")), "hyphens": count("[-_]", u), "vowels": floor(200 * count("[aeiou]", path) / max(len(path), 1)),
+    }
+    out = {k: min(max(v, 0), urls.TOP) for k, v in raw.items()}
+    first = re.match("^/([^/]*)/", path)
+    for k, v in (("ending", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("directory", first[1] if first else "")):
+        out[k] = shares.get((k, v), prior)
+    return out
+
+
+def grown_by_force(rows, depth):
+    """rows: (features, gradient, curvature, weight). Tries every split of every feature."""
+    one, score = urls._SCALE, lambda g, h: g * g / (h + urls.L2 * urls._SCALE)
+    total = [sum(r[i] for r in rows) for i in (1, 2)]
+    leaf = round(urls.RATE * one * total[0] / (total[1] + urls.L2 * one))
+    best = (1e-6 * one, None)
+    for name in sorted(rows[0][0]) if depth else []:
+        values = sorted({r[0][name] for r in rows})
+        for value, after in zip(values, values[1:]):
+            left = [r for r in rows if r[0][name] <= value]
+            n = sum(r[3] for r in left)
+            if n >= urls.LEAST and sum(r[3] for r in rows) - n >= urls.LEAST:
+                g, h = (sum(r[i] for r in left) for i in (1, 2))
+                gain = score(g, h) + score(total[0] - g, total[1] - h) - score(*total)
+                if gain > best[0]:
+                    best = (gain, (name, (value + after) // 2))
+    if best[1] is None:
+        return leaf
+    name, at = best[1]
+    return name, at, grown_by_force([r for r in rows if r[0][name] <= at], depth - 1), grown_by_force([r for r in rows if r[0][name] > at], depth - 1)
+
+
+def leaf_of(tree, features):
+    while not isinstance(tree, int):
+        tree = tree[2] if features[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_trees_and_verdicts_equal_brute_force(spark):
+    from math import exp, log
+
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    parts = [tuple(r) for r in urls.with_parts(pages.select("page_id", "url")).select("page_id", "url", "host", "path", "rule_verdict").collect()]
+    labelled = Counter((u, h, p, int(v == "block")) for _, u, h, p, v in parts if v is not None)
+    assert len(labelled) <= urls.SAMPLE
+    model = urls.train(urls.labelled_by_rules(pages), rounds=3)
+    n, b = sum(labelled.values()), sum(w for (*_, y), w in labelled.items() if y)
+    prior, seen = urls.TOP * b // n, defaultdict(lambda: [0, 0])
+    for (_, h, p, y), w in labelled.items():
+        for k, v in (("ending", h.split(".")[-1]), ("domain", ".".join(h.split(".")[-2:])), ("directory", (re.match("^/([^/]*)/", p) or ["", ""])[1])):
+            seen[k, v][0] += w
+            seen[k, v][1] += w * y
+    shares = {k: urls.TOP * (c[1] * n + 8 * b) // (n * (c[0] + 8)) for k, c in seen.items()}
+    rows = [(features_of(u, h, p, shares, prior), y, w) for (u, h, p, y), w in labelled.items()]
+    base, trees = round(urls._SCALE * log((b + 1) / (n - b + 1))), []
+    for _ in range(3):
+        part = []
+        for x, y, w in rows:
+            p = 1 / (1 + exp(-(base + sum(leaf_of(t, x) for t in trees)) / urls._SCALE))
+            part.append((x, round((y - p) * urls._SCALE) * w, round(p * (1 - p) * urls._SCALE) * w, w))
+        trees.append(grown_by_force(part, urls.DEPTH))
+    assert (model.base, model.trees) == (base, trees)
+    got = {r.page_id: (r.verdict, round(r.margin * urls._SCALE)) for r in urls.judged(pages, model).collect()}
+    for i, u, h, p, v in parts:
+        margin = base + sum(leaf_of(t, features_of(u or "", h, p, shares, prior)) for t in trees)
+        assert got[i] == (v or ("block" if margin > 0 else "allow"), margin)
+
+
 def test_values_between_go_with_the_nearer_one():
     one = urls._SCALE
     cells = [(10, -15 * one, 7 * one, 30), (50, 15 * one, 7 * one, 30)]
@@ -483,6 +565,19 @@ def test_licences(spark, docs, empty):
     assert licences.scanned(docs, licences.known(spark).limit(0)).count() == len(TEXTS)
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no public licence texts here")
+def test_longer_licence_texts_are_found(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3-only": "GFDL-1.3"}
+    texts = []
+    for name, file in files.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            whole = f.read()
+        texts += [(name, whole), (name, whole.upper().replace(",", " ")), (None, whole + " and more")]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scanned(frame, licences.known(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def test_every_known_notice_is_found(spark):
     texts = [(f"{n.format(x)}", name) for name, xs in licences.NAMES.items() for x in xs for n in licences._NOTICES]
     frame = spark.createDataFrame([(i, f"a\n  {t}\nb") for i, (t, _) in enumerate(texts)] + [(-1, "Released under GPLv9.")], "doc_id long, text string")
@@ -560,10 +655,28 @@ def test_pipeline(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "jaccard_join", "benchmark_decontamination", "secret_scans", "harmonic_packing"]
     source = common.table(spark, SF, "documents")
-    kept = source
+    kept, texts = source, {"documents": [(r.doc_id, r.text) for r in source.collect()]}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = common.stored(stage(spark, kept, SF), f"test-{name}")
         assert kept.columns == source.columns
-    texts = [(r.doc_id, r.text) for r in kept.collect()]
-    assert not any(brute_spans(t) for _, t in texts)
-    check_packing(corpus_pipeline.run(spark, SF).toPandas(), texts)
+        texts[name] = [(r.doc_id, r.text) for r in kept.collect()]
+    # each stage against brute force over what the one before it kept
+    verdict = {r.doc_id: r.kept for r in registry.QUERIES["op1_ngram_likelihood_ratio"](spark, SF).collect()}
+    assert sorted(texts["quality_rules"]) == sorted((i, t) for i, t in texts["documents"] if verdict[i])
+    links = brute_links(texts["quality_rules"])
+    assert sorted(texts["jaccard_join"]) == sorted(x for x, (_, c, _) in zip(texts["quality_rules"], links) if x[0] == c)
+    items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    found = {i: brute_contamination(t, items) for i, t in texts["jaccard_join"]}
+    left = dict(texts["benchmark_decontamination"])
+    assert set(left) == {i for i, x in found.items() if not x[4]}
+    assert all(len(fold(left[i])) == x[0] - x[1] for i, x in found.items() if i in left)
+    assert all(left[i] == t for i, t in texts["jaccard_join"] if i in left and not found[i][1])
+    assert {i for i, _ in texts["secret_scans"]} == set(left) and not any(brute_spans(t) for _, t in texts["secret_scans"])
+    check_packing(corpus_pipeline.run(spark, SF).toPandas(), texts["secret_scans"])
+
+
+def test_pipeline_over_an_empty_table(spark, docs):
+    empty = common.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0
