@@ -46,8 +46,11 @@ def candidates(bins: DataFrame, annotation: DataFrame, metric: str, bin_size: in
     elif metric == "frac_overlap":
         value = F.col("bp") / size
     else:
-        share = F.sum("bp").over(Window.partitionBy("chrom", "mod")) / F.sum("bp").over(Window.partitionBy("chrom"))
-        value = F.log2(1 + (F.col("bp") / size) / F.when(share != 0, share))
+        # a row for each chromosome and label: no task gathers the candidates of a whole chromosome
+        sums = rows.groupBy(F.col("chrom").alias("__chrom"), F.col("mod").alias("__mod")).agg(F.sum("bp").alias("__bp"))
+        sums = sums.select("__chrom", "__mod", (F.col("__bp") / F.sum("__bp").over(Window.partitionBy("__chrom"))).alias("__share"))
+        rows = rows.join(sums, (F.col("chrom") == F.col("__chrom")) & F.col("mod").eqNullSafe(F.col("__mod")))
+        value = F.log2(1 + (F.col("bp") / size) / F.when(F.col("__share") != 0, F.col("__share")))
     return rows.select(*_KEY, "mod", value.alias("value"), "ord")
 
 

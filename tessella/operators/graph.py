@@ -6,6 +6,8 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.frames import convert
+from ..streaming.chunks import chunked
 from .clustering import cluster_graph
 
 if TYPE_CHECKING:
@@ -54,17 +56,22 @@ class ContactGraph:
         """(vertices with id, edges with src and dst)."""
         return self._bins.withColumn("id", F.col("bin_id")), self._edges.withColumnsRenamed({"bin1_id": "src", "bin2_id": "dst"})
 
-    def get_bins(self, *, drop_node_id: bool = True, bare: bool = False) -> DataFrame:
+    def get_bins(self, *, drop_node_id: bool = True, bare: bool = False, chunk_size: int | None = None, dtype: str = "spark"):
+        """The vertices; with chunk_size an iterator of frames of so many rows, in order of bin_id."""
         out = self._bins.select("bin_id", "chrom", "start", "end") if bare else self._bins
-        return out if drop_node_id else numbered(out)
+        out = out if drop_node_id else numbered(out)
+        return convert(out, dtype) if chunk_size is None else chunked(out.orderBy("bin_id"), chunk_size, dtype)
 
-    def get_pixels(self, *, keep_genomic: bool = False) -> DataFrame:
-        """Edges by bin ids; after a reconstruction all of them, with a count of 0 where there was no pixel."""
+    def get_pixels(self, *, keep_genomic: bool = False, chunk_size: int | None = None, dtype: str = "spark"):
+        """Edges by bin ids; after a reconstruction all of them, with a count of 0 where there was no pixel. With chunk_size an
+        iterator of frames of so many rows.
+        """
         if self._reconstructed:
             out = self._edges.drop("genomic").withColumn("count", F.coalesce("count", F.lit(0)))
         else:
             out = self._edges if keep_genomic else self._edges.where("not genomic").drop("genomic")
-        return out.orderBy("bin1_id", "bin2_id")
+        out = out.orderBy("bin1_id", "bin2_id")
+        return convert(out, dtype) if chunk_size is None else chunked(out, chunk_size, dtype)
 
     def compute_clustering(self, *, on: str, marginals: str = "no", seed: int = 42, effort: int = 30) -> DataFrame:
         """Adds level_(k), and with marginals bin_prob, pix_prob and pix_group; gives (bin_id, level, cluster)."""

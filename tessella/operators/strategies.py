@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 Strategy = Callable[[DataFrame], DataFrame]
@@ -60,6 +61,13 @@ def folded(pixels: DataFrame, strategies: Strategy | Iterable[Strategy] | None)
     return pixels
 
 
+def over_stream(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> Strategy:
+    """A strategy that carries state: function gets all pixels, in order of both ids, as one stream of pandas frames, and gives
+    frames of the schema. One order has one reader, so this is one task; it holds a frame at a time and sorts with spill.
+    """
+    return lambda pixels: pixels.repartition(1).sortWithinPartitions("bin1_id", "bin2_id").mapInPandas(function, schema)
+
+
 def row_filter(rows: DataFrame, condition) -> DataFrame:
     return rows.where(condition)
 

@@ -16,7 +16,7 @@ from ..streaming.chunks import chunked
 from .annotate import with_annotation
 from .graph import ContactGraph
 from .matrix import complete_matrix, dense_matrix, matrix_cells
-from .strategies import BIN_BASE, PIXEL_BASE, Strategy, annotate_pixels, balance_pixels, drop_existing, folded, subset_region
+from .strategies import BIN_BASE, PIXEL_BASE, Strategy, annotate_pixels, balance_pixels, drop_existing, folded, row_filter, subset_region
 
 STORE_SIZE = 10_000_000
 
@@ -81,12 +81,20 @@ class BinTable(Table):
     def get_dataframe(self, region: str | None = None, *, dtype: str = "spark", strict: bool = False):
         return convert(self._df if region is None else self._within(parse_region(region), strict), dtype)
 
-    def get_chunks(self, region: str | None = None, *, chunk_size: int = STORE_SIZE) -> Iterator:
-        return chunked(self.get_dataframe(region).orderBy("bin_id"), chunk_size)
+    def get_chunks(self, region: str | None = None, *, chunk_size: int = STORE_SIZE, dtype: str = "pandas", condition=None) -> Iterator:
+        """Frames of chunk_size rows, the last shorter, in order of bin_id. condition: only the rows for which it holds."""
+        bins = self.get_dataframe(region)
+        return chunked((bins if condition is None else row_filter(bins, condition)).orderBy("bin_id"), chunk_size, dtype)
 
     def extent(self, region: str, *, strict: bool = False) -> tuple[int, int]:
-        """Half-open range of the bin ids of a region."""
-        low, high = self._within(parse_region(region), strict).agg(F.min("bin_id"), F.max("bin_id")).first()
+        """Half-open range of the bin ids of a region. strict: a range beyond its chromosome's end, or one that ends before it
+        starts, is a ValueError.
+        """
+        parsed = parse_region(region)
+        bins = F.when(parsed.predicate(self.bin_size if parsed.ranged else 0, strict), F.col("bin_id"))
+        low, high, end = self._df.where(F.col("chrom") == parsed.chrom).agg(F.min(bins), F.max(bins), F.max("end")).first()
+        if strict and parsed.ranged and end is not None and not 0 <= parsed.start <= parsed.end <= end:
+            raise ValueError(f"{region} lies outside of its chromosome, which ends at {end}")
         if low is None:
             raise RegionNotFound(f"no bin lies in {region}")
         return low, high + 1
@@ -139,9 +147,10 @@ class PixelTable(Table):
         pixels = folded(pixels, options["strategies"])
         return convert(annotate_pixels(pixels, bins_df=bins) if annotate else pixels, dtype)
 
-    def get_chunks(self, region: str | None = None, *, annotate: bool = True, balance: bool = False, chunk_size: int = STORE_SIZE, strategies=None) -> Iterator:
-        """pandas frames of chunk_size rows, the last shorter, in pixel order."""
-        return chunked(self.get_dataframe(region, annotate=annotate, balance=balance, strategies=strategies).orderBy("bin1_id", "bin2_id"), chunk_size)
+    def get_chunks(self, region: str | None = None, *, annotate: bool = True, balance: bool = False, chunk_size: int = STORE_SIZE, strategies=None, dtype: str = "pandas", condition=None) -> Iterator:
+        """Frames of chunk_size rows, the last shorter, in pixel order. condition: only the rows for which it holds."""
+        pixels = self.get_dataframe(region, annotate=annotate, balance=balance, strategies=strategies)
+        return chunked((pixels if condition is None else row_filter(pixels, condition)).orderBy("bin1_id", "bin2_id"), chunk_size, dtype)
 
     def subset(self, region: str) -> PixelTable:
         return PixelTable(subset_region(self._df, extent=self._bins.extent(region)), bins=self._bins)

@@ -42,13 +42,10 @@ def axis_unit(length: int) -> tuple[int, str]:
     return (1_000_000, "Mbp") if length >= 1_000_000 else (1_000, "Kb") if length >= 1_000 else (1, "bp")
 
 
-class BinClusters:
-    """Clusters of a level along the bins of a region."""
+class BinTrack:
+    """The bins of a region with all their columns; None where there are none."""
 
-    def __init__(self, bins: BinTable, level: int, *, col_name_pattern: str = "level_({})") -> None:
-        self.column = col_name_pattern.format(level)
-        if self.column not in bins.col_names:
-            raise KeyError(self.column)
+    def __init__(self, bins: BinTable) -> None:
         self.bins = bins
 
     def fetch_data(self, region: str) -> DataFrame | None:
@@ -56,7 +53,21 @@ class BinClusters:
             self.bins.extent(region)
         except RegionNotFound:
             return None
-        return self.bins.get_dataframe(region).select("bin_id", "chrom", "start", "end", F.col(f"`{self.column}`").alias("value")).orderBy("bin_id")
+        return self.bins.get_dataframe(region).orderBy("bin_id")
+
+
+class BinClusters(BinTrack):
+    """Clusters of a level along the bins of a region."""
+
+    def __init__(self, bins: BinTable, level: int, *, col_name_pattern: str = "level_({})") -> None:
+        super().__init__(bins)
+        self.column = col_name_pattern.format(level)
+        if self.column not in bins.col_names:
+            raise KeyError(self.column)
+
+    def fetch_data(self, region: str) -> DataFrame | None:
+        found = super().fetch_data(region)
+        return None if found is None else found.select("bin_id", "chrom", "start", "end", F.col(f"`{self.column}`").alias("value"))
 
 
 class PixelTrack:

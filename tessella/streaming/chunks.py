@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def rechunk(frames: Iterable[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -25,8 +27,16 @@ def rechunk(frames: Iterable[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
         yield pd.concat(held, ignore_index=True)
 
 
-def chunked(df: DataFrame, size: int, batch: int = 50_000) -> Iterator[pd.DataFrame]:
-    """df in its order as pandas frames of size rows; the driver holds one partition and one frame at a time."""
+def chunked(df: DataFrame, size: int, dtype: str = "pandas", batch: int = 50_000) -> Iterator:
+    """df in its order as frames of size rows, pandas ones, Arrow tables or Spark frames; the driver holds one partition and one
+    frame at a time.
+    """
+    if size < 1:
+        raise ValueError("a chunk has a row at least")
+    to_arrow = lambda frame: pa.Table.from_pandas(frame, to_arrow_schema(df.schema), preserve_index=False)
+    made = {"pandas": lambda frame: frame, "arrow": to_arrow, "spark": lambda frame: df.sparkSession.createDataFrame(to_arrow(frame), df.schema)}
+    if dtype not in made:
+        raise ValueError(f"unknown kind of frame {dtype!r}")
 
     def frames():
         rows = []
@@ -38,7 +48,7 @@ def chunked(df: DataFrame, size: int, batch: int = 50_000) -> Iterator[pd.DataFr
         if rows:
             yield pd.DataFrame(rows, columns=df.columns)
 
-    return rechunk(frames(), size)
+    return map(made[dtype], rechunk(frames(), size))
 
 
 def pixel_counts(contacts: DataFrame, bin_size: int) -> DataFrame:

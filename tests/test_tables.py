@@ -13,8 +13,9 @@ from tessella.operators.clustering import BlockModel, _absent, cluster_graph, de
 from tessella.operators.expected import _smoothed, expected_normalized_pixels, get_expected_counts
 from tessella.operators.graph import ContactGraph, numbered
 from tessella.operators.levels import dense_levels, kept_levels
+from tessella.operators.strategies import over_stream
 from tessella.operators.tables import BinTable, PixelTable
-from tessella.plans.plotdata import MODALITIES, BinClusters, comparison_data, infer_track, style_width, table_data
+from tessella.plans.plotdata import MODALITIES, BinClusters, BinTrack, comparison_data, infer_track, style_width, table_data
 from tessella.sources.dataset import replace_table
 from tessella.sources.frames import as_frame, convert
 from tessella.sources.store import ContactStore
@@ -276,6 +277,58 @@ def test_missing_cells_and_links(spark, chr2):
     assert sorted(tuple(e) for e in edges) == [(0, 1, 1, False), (0, 2, 30, False), (1, 2, 1, True), (2, 3, 2, False), (3, 4, 1, True)]
 
 
+def test_a_strategy_may_carry_state_over_the_stream(table):
+    def running(frames):
+        total = 0
+        for frame in frames:
+            frame["count"] = frame["count"].cumsum() + total
+            total = frame["count"].iloc[-1] if len(frame) else total
+            yield frame
+
+    rows = table.df.orderBy("bin1_id", "bin2_id").toPandas()
+    got = table.apply(over_stream(running, "bin1_id long, bin2_id long, count long")).df.orderBy("bin1_id", "bin2_id").toPandas()
+    assert got["count"].tolist() == rows["count"].cumsum().tolist()
+    assert got["bin2_id"].tolist() == rows["bin2_id"].tolist()
+
+
+@pytest.mark.parametrize("dtype", ["pandas", "arrow", "spark"])
+def test_chunks_of_each_kind(table, dtype):
+    size = lambda frame: frame.count() if dtype == "spark" else len(frame)
+    kept = table.df.where("count >= 3").count()
+    chunks = list(table.get_chunks(annotate=False, chunk_size=10, dtype=dtype, condition="count >= 3"))
+    assert [size(c) for c in chunks] == [10] * (kept // 10) + ([kept % 10] if kept % 10 else [])
+    assert [size(c) for c in table.bins.get_chunks(chunk_size=50, dtype=dtype)] == [50, 32]
+    graph = table.get_graph()
+    edges = graph.get_pixels().count()
+    assert [size(c) for c in graph.get_pixels(chunk_size=edges - 1, dtype=dtype)] == [edges - 1, 1]
+    assert [size(c) for c in graph.get_bins(bare=True, drop_node_id=False, chunk_size=80, dtype=dtype)] == [80, 2]
+    if dtype == "spark":
+        assert chunks[0].schema == table.df.schema
+    with pytest.raises(ValueError):
+        table.get_chunks(dtype="other")
+    with pytest.raises(ValueError):
+        table.get_chunks(chunk_size=0)
+
+
+def test_strict_ranges_stay_within_their_chromosome(chr2):
+    bins = BinTable(chr2)
+    assert bins.extent("chrII:5000-15000", strict=True) == (0, 2)
+    assert bins.extent("chrII:810000-813184", strict=True) == (81, 82)
+    for bad in ("chrII:810000-813185", "chrII:20000-10000", "chrII:900000-910000"):
+        with pytest.raises(ValueError):
+            bins.extent(bad, strict=True)
+    assert bins.extent("chrII:810000-820000") == (81, 82)
+    with pytest.raises(RegionNotFound):
+        bins.extent("chrIII:0-10", strict=True)
+
+
+def test_bin_track(chr2):
+    track = BinTrack(BinTable(chr2))
+    assert [r.bin_id for r in track.fetch_data("chrII:0-20000").collect()] == [0, 1]
+    assert track.fetch_data("chrII:0-20000").columns == chr2.columns
+    assert track.fetch_data("chrIX") is None
+
+
 def test_kept_levels():
     assert kept_levels([14, 3, 3, 1], 100) == [0, 1] and kept_levels([1], 5) == [0] and kept_levels([5, 2, 1], 5) == [1] and kept_levels([5], 5) == [0]
 
