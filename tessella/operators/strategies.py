@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 Strategy = Callable[[DataFrame], DataFrame]
 BIN_BASE, PIXEL_BASE = ("bin_id", "chrom", "start", "end"), ("bin1_id", "bin2_id", "count")
@@ -61,7 +62,7 @@ def folded(pixels: DataFrame, strategies: Strategy | Iterable[Strategy] | None)
     return pixels
 
 
-def over_stream(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> Strategy:
+def over_stream(function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> Strategy:
     """A strategy that carries state: function gets all pixels, in order of both ids, as one stream of pandas frames, and gives
     frames of the schema. One order has one reader, so this is one task; it holds a frame at a time and sorts with spill.
     """

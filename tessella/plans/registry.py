@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.normalisers import log_count
 from ..operators import annotate, expected, graph, levels
 from ..operators.overlap import overlap_join
-from ..operators.strategies import annotate_pixels, balance_pixels, subset_region
+from ..operators.strategies import annotate_pixels, balance_pixels, over_stream, subset_region
 from ..operators.tables import BinTable, PixelTable, written_back
 from ..sources.workdir import new_path
 from ..streaming.chunks import pixel_counts
 from .derived import SIZE, SQL as TABLES, bin_table, bins, pixel_table, pixels, states
+from .plotdata import BinTrack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -379,6 +380,24 @@ def sorted_pixels(spark, sf):
     return subset_region(pixels(spark, sf), extent=bin_table(spark, sf).extent(REGION)).orderBy("bin1_id", "bin2_id")
 
 
+@query('x as (select 1) select bin1_id, bin2_id, cast(sum("count") over (order by bin1_id, bin2_id) as bigint) as "count" from pixels')
+def stateful_strategy(spark, sf):
+    def running(frames):
+        total = 0
+        for frame in frames:
+            frame["count"] = frame["count"].cumsum() + total
+            total = frame["count"].iloc[-1] if len(frame) else total
+            yield frame
+
+    t = pixel_table(spark, sf)
+    return t.apply(over_stream(running, t.df.select("bin1_id", "bin2_id", "count").schema)).df
+
+
+@query(f'{_ASIA} select bin_id, chrom, "start", "end", round(weight, 9) as weight from b')
+def bin_track(spark, sf):
+    return _rounded(BinTrack(bin_table(spark, sf)).fetch_data(REGION), "weight")
+
+
 #: Over all pixels of all chromosomes, unlike the sparse maps of one chromosome above.
 _ALL_CELLS = """ext as (select min(bin1_id) as lo, max(bin2_id) + 1 as hi from pixels),
 up as (select bin1_id - lo as i, bin2_id - lo as j, cast("count" as double) as value from pixels, ext)"""
