@@ -680,3 +680,31 @@ def test_pipeline_over_an_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, SF)
         assert out.count() == 0
+
+
+def test_stages_over_nulls_repeats_and_clashing_names(spark, docs):
+    stage = {name: lambda f=f: f(spark, docs, SF) for name, f in corpus_pipeline.STAGES}
+    rows = lambda df: sorted(((r.doc_id, r.text, r.start, r.spans, r.n_chars) for r in df.collect()), key=repr)
+    every = rows(docs)
+
+    kept = stage["quality_rules"]()
+    assert kept.columns == docs.columns
+    assert all(r in every and r[1] and len(r[1].split()) >= 10 for r in rows(kept))
+
+    one = rows(stage["jaccard_join"]())
+    ids = [r[0] for r in one]
+    assert [ids.count(i) for i in (1, 2, 3, 9, 10, 17)] == [1, 0, 0, 1, 0, 1]
+    assert ids.count(None) == 2 and {4, 5, 6} <= set(ids) and all(r in every for r in one)
+
+    assert rows(decontaminate.cleaned(docs, common.table(spark, SF, "benchmark").limit(0))) == every
+    clean = rows(stage["benchmark_decontamination"]())
+    assert Counter(r[0] for r in clean) == Counter(i for i, _ in TEXTS)  # none of them has a benchmark item
+    assert clean == every
+
+    marked = rows(stage["secret_scans"]())
+    assert Counter(r[0] for r in marked) == Counter(i for i, _ in TEXTS)
+    assert all(r[4] == (None if r[1] is None else len(r[1])) and r[2:4] == ("x", "y") for r in marked)
+    assert {r[0] for r in marked if r not in every} == {13}
+
+    pieces = stage["harmonic_packing"]().toPandas()
+    assert (pieces["start"] == 0).sum() == len(TEXTS) and pieces["doc_id"].isna().sum() >= 2
