@@ -8,6 +8,9 @@ TOLERANCE. What is left is verified on the exact shingle sets.
 No bucket is expanded into pairs in the plan: the members of a bucket are dealt to chunks of about CHUNK, each pair of
 chunks is a unit of work, and a unit hands on members with lists of partners, then members with counts of links and
 the edges of a spanning forest. A pair is counted in the unit of the first band that it shares, and there only.
+
+Every join is dealt by key (dealt): an exploded table, as that of bands, is many times larger than the size that the
+planner estimates, and a broadcast of it goes through the driver.
 """
 
 from __future__ import annotations
@@ -224,25 +227,29 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["member", "links", "other"])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, as a side of a join that is sorted and merged, whatever sizes are estimated: never broadcast."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(member, least): the least member reachable, for each member of an edge (a, b). Labels are pushed to neighbours
     and shortened through the label's own label, each round written to the shared folder, until nothing changes.
     """
-    # salted sides hold a row for each salt, more than their estimated size tells: they are dealt by key, never broadcast
     spark = edges.sparkSession
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", files)
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "labels", files)
     salt, salts = F.pmod(F.col("a"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("least").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
+        near = both.join(dealt(labels.select(F.col("a").alias("b"), F.col("least").alias("l"))), "b").groupBy("a").agg(F.min("l").alias("l"))
         # only labels' own labels: as many rows as there are labels in use
-        far = labels.join(labels.select(F.col("least").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("least"), F.col("least").alias("l2"), salts)
-        better = labels.join(near, "a").select("a", "least", "l", salt).join(far.hint("merge"), ["least", "salt"], "left").select("a", "salt", F.least("least", "l", "l2").alias("new"), F.col("least").alias("old"))
+        far = labels.join(dealt(labels.select(F.col("least").alias("a")).distinct()), "a", "left_semi").select(F.col("a").alias("least"), F.col("least").alias("l2"), salts)
+        better = labels.join(dealt(near), "a").select("a", "least", "l", salt).join(dealt(far), ["least", "salt"], "left").select("a", "salt", F.least("least", "l", "l2").alias("new"), F.col("least").alias("old"))
         better = stored(better, "better", files)
         # a label may also improve those that point to it: pass new labels on to the members of the old one
         lifted = better.groupBy("old").agg(F.min("new").alias("up")).where("up < old").select("old", "up", salts)
         new = F.least("new", F.coalesce("up", "new"))
-        moved = stored(better.join(lifted.hint("merge"), ["old", "salt"], "left").select("a", new.alias("least"), (new < F.col("old")).alias("changed")), "labels", files)
+        moved = stored(better.join(dealt(lifted), ["old", "salt"], "left").select("a", new.alias("least"), (new < F.col("old")).alias("changed")), "labels", files)
         discard(spark, labels)
         discard(spark, better)
         labels = moved.select("a", "least")
@@ -271,28 +278,28 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
 
     placed = texts.select("member", F.posexplode("bands").alias("band", "value"))
     crowded = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    in_crowd = placed.join(crowded, ["band", "value"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("mine", F.expr("pmod(xxhash64(member), chunks)").cast("int"))
+    in_crowd = placed.join(dealt(crowded), ["band", "value"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("mine", F.expr("pmod(xxhash64(member), chunks)").cast("int"))
     met = in_crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("member", "band", "value", F.xxhash64("band", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
-    dealt = met.join(texts.select("member", "bands", "bits"), "member").repartition("unit").sortWithinPartitions("unit")
-    pruned = stored(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance), bands=BANDS, total=total, step=STEP), _PARTNERS), "pairs", 3 * files)
+    units = met.join(dealt(texts.select("member", "bands", "bits")), "member").repartition("unit").sortWithinPartitions("unit")
+    pruned = stored(units.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance), bands=BANDS, total=total, step=STEP), _PARTNERS), "pairs", 3 * files)
 
     # every member of a unit with a pair that is left, once, with its text
-    sources = pruned.join(texts.select("member", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")), "member")
-    with_text = sources.join(docs, ["doc_id", "row"])
+    sources = pruned.join(dealt(texts.select("member", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"))), "member")
+    with_text = sources.join(dealt(docs), ["doc_id", "row"])
     verified = with_text.select("unit", "member", "copies", "text", "partners").repartition("unit").sortWithinPartitions("unit")
     links = stored(verified.mapInArrow(partial(_verify, width=width, threshold=threshold), _LINKS), "links", files)
 
     degree = links.groupBy("member").agg(F.sum("links").alias("links"))
     found = components(links.where("other is not null").select(F.col("member").alias("a"), F.col("other").alias("b")), files)
     # the first row of a group stands for it: pre-aggregated, so a large group is one row a task
-    heads = found.join(texts.select("member", "first"), "member").groupBy("least").agg(F.min("first").alias("head")).select("least", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    grouped_texts = found.withColumn("salt", F.pmod(F.col("member"), F.lit(SALTS))).join(heads.hint("merge"), ["least", "salt"]).select("member", "head")
-    classes = texts.select("key", "member", "first", "copies").join(degree, "member", "left").join(grouped_texts, "member", "left")
+    heads = found.join(dealt(texts.select("member", "first")), "member").groupBy("least").agg(F.min("first").alias("head")).select("least", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    grouped_texts = found.withColumn("salt", F.pmod(F.col("member"), F.lit(SALTS))).join(dealt(heads), ["least", "salt"]).select("member", "head")
+    classes = texts.select("key", "member", "first", "copies").join(dealt(degree), "member", "left").join(dealt(grouped_texts), "member", "left")
     classes = classes.select("key", "first", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     own = signed.select("doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     of = lambda c: F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col(c))
-    return own.join(classes, "key", "left").select(
+    return own.join(dealt(classes), "key", "left").select(
         "doc_id", "row", of("first.doc_id").alias("text_id"), of("head.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("head") == F.struct("doc_id", "row")).alias("stays")
     )
 
@@ -318,7 +325,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     verdict = classified(docs, **options).where("stays is not null").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "stays").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__row"))
-    told = rows.join(verdict, ["__id", "__row"], "left").where("stays is null or stays")
+    told = rows.join(dealt(verdict), ["__id", "__row"], "left").where("stays is null or stays")
     # equal rows of those that stay meet where the join has brought them; the others are told apart by a number
     once = told.withColumn("__nth", F.when(F.col("stays"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["__id", "__row", "__nth"])
     return once.select(*[F.col(f"__all.`{c}`").alias(c) for c in docs.columns]).coalesce(file_count(docs))

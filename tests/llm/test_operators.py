@@ -282,6 +282,20 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in [*range(41), 100]} | {200: 200, 201: 200, 202: 200, 300: 300}
 
 
+def broadcasts_of(monkeypatch, result):
+    """The plans of all tables that jaccard stores, and of the result, that have a broadcast."""
+    plans, write = [], jaccard.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(jaccard, "stored", lambda df, *a, **k: (plan(df), write(df, *a, **k))[1])
+    plan(result())
+    assert len(plans) > 7 and any("SortMergeJoin" in p for p in plans)
+    return [p for p in plans if "Broadcast" in p]
+
+
+def test_the_pipelines_jaccard_join_sends_no_table_through_the_driver(spark, docs, monkeypatch):
+    assert not broadcasts_of(monkeypatch, lambda: corpus_pipeline.jaccard_join(spark, docs, SF))
+
+
 def test_pruning_never_drops_the_similar():
     need = jaccard.least_matches()
     p = 0.8 + 0.2 / 256
