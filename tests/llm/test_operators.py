@@ -296,6 +296,10 @@ def test_the_pipelines_jaccard_join_sends_no_table_through_the_driver(spark, doc
     assert not broadcasts_of(monkeypatch, lambda: corpus_pipeline.jaccard_join(spark, docs, SF))
 
 
+def test_the_jaccard_query_sends_no_table_through_the_driver(spark, monkeypatch):
+    assert not broadcasts_of(monkeypatch, lambda: jaccard.op3_bayesian_jaccard_join(spark, SF))
+
+
 def test_pruning_never_drops_the_similar():
     need = jaccard.least_matches()
     p = 0.8 + 0.2 / 256
