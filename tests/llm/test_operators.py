@@ -119,6 +119,21 @@ def test_quality_separates_held_out_labels(spark):
     assert got[got.quality == 0].kept.mean() < 0.2
 
 
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(45_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(labels).count() == 45_000
+
+
+@pytest.mark.parametrize("gathered, cells", [(10_000, 1_000), (5, 4), (1, 2)])
+def test_quantiles_are_exact(spark, monkeypatch, gathered, cells):
+    monkeypatch.setattr(quality, "GATHERED", gathered)
+    monkeypatch.setattr(quality, "CELLS", cells)
+    for values in ([3.5], [1.0, 1.0, 1.0], [-1e9, *np.random.default_rng(5).normal(size=60).round(1), 1e-300]):
+        frame = spark.createDataFrame([(float(x),) for x in values], "score double").coalesce(1)
+        assert quality.quantiles(frame, [0.005, 0.5, 1.0]) == pytest.approx(np.quantile(values, [0.005, 0.5, 1.0]).tolist(), rel=1e-12)
+    assert quality.quantiles(frame.limit(0), [0.5]) is None
+
+
 # --- tokens, files, packing
 
 
