@@ -134,6 +134,19 @@ def test_quantiles_are_exact(spark, monkeypatch, gathered, cells):
     assert quality.quantiles(frame.limit(0), [0.5]) is None
 
 
+def test_the_pipelines_quality_rules_count_every_trusted_document(spark, tmp_path):
+    made = np.random.default_rng(11)
+    texts = [(i, " ".join(f"w{x}" for x in made.zipf(1.3, 12) % 3_000)) for i in range(24_000)]
+    trusted = {i for i, _ in texts if i % 12}
+    spark.createDataFrame([(i, int(i in trusted), 0) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fits = {r.doc_id for r in quality.trusted_ids(common.table(spark, tmp_path, "labels")).where("fits").collect()}
+    scores = scores_of([t for _, t in texts], [i in fits for i, _ in texts])
+    low, middle = np.quantile([s for (i, _), s in zip(texts, scores) if i in trusted - fits], [quality.QUANTILE, 0.5])
+    cut = low - quality.MARGIN * (middle - low)
+    got = {r.doc_id for r in corpus_pipeline.quality_rules(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert len(fits) > 10_000 and all((i in got) == (s >= cut and not base_of(t)[5]) for (i, t), s in zip(texts, scores) if abs(s - cut) > 1e-9)
+
+
 # --- tokens, files, packing
 
 
