@@ -13,6 +13,7 @@ from tessella.operators.clustering import BlockModel, _absent, cluster_graph, de
 from tessella.operators.expected import _smoothed, expected_normalized_pixels, get_expected_counts
 from tessella.operators.graph import ContactGraph, numbered
 from tessella.operators.levels import dense_levels, kept_levels
+from tessella.operators.matrix import complete_matrix
 from tessella.operators.strategies import over_stream
 from tessella.operators.tables import BinTable, PixelTable
 from tessella.plans.plotdata import MODALITIES, BinClusters, BinTrack, comparison_data, infer_track, style_width, table_data
@@ -366,3 +367,34 @@ def test_frames_and_streams(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert {tuple(r) for r in spark.table(name).collect()} == {("a", 0, "b", 0, 2), ("a", 0, "a", 10, 1)}
+
+
+def executed(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_complete_matrix_deals_out_only_the_given_cells(spark):
+    rows = [(0, 0, 1.0), (0, 3, 2.0), (0, 3, 3.0), (2, 4, None), (4, 1, 5.0)]  # a repeated cell; rows 1 and 3 have none
+    full = complete_matrix(spark.createDataFrame(rows, "i long, j long, value double"), 5)
+    missing = [(i, j, None) for i in range(5) for j in range(5) if not any(r[:2] == (i, j) for r in rows)]
+    assert sorted(map(str, (tuple(r) for r in full.collect()))) == sorted(map(str, rows + missing))
+    large = complete_matrix(spark.createDataFrame(rows, "i long, j long, value double"), 400)
+    assert large.count() == 400 * 400 + 1
+    assert "Join" not in executed(large)  # a join by cell deals out the whole grid
+    assert complete_matrix(spark.createDataFrame([], "i long, j long, value double"), 0).count() == 0
+
+
+def test_a_matrix_makes_its_pixels_once(spark, chr2):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pixels = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (2, 3, 3)], "bin1_id long, bin2_id long, count long")
+    cells = PixelTable(pixels.mapInArrow(counted, pixels.schema), bins=chr2).get_matrix_cells()
+    assert sorted(tuple(r) for r in cells.collect()) == [(0, 0, 1), (0, 1, 2), (1, 0, 2), (2, 3, 3), (3, 2, 3)]
+    assert made.value == 3
