@@ -1,5 +1,6 @@
 """Tables, annotation goldens, error contract, graphs, clustering, stores and streams on hand-made bins."""
 
+import datetime as dt
 import itertools
 import uuid
 
@@ -398,3 +399,31 @@ def test_a_matrix_makes_its_pixels_once(spark, chr2):
     cells = PixelTable(pixels.mapInArrow(counted, pixels.schema), bins=chr2).get_matrix_cells()
     assert sorted(tuple(r) for r in cells.collect()) == [(0, 0, 1), (0, 1, 2), (1, 0, 2), (2, 3, 3), (3, 2, 3)]
     assert made.value == 3
+
+
+def test_one_task_of_a_stream_sorts_blocks_not_pixels(spark):
+    rows = [(k * 7919 % 500, k % 13, k, f"n{k}" if k % 3 else None, dt.datetime(2020, 1, 1) + dt.timedelta(hours=k)) for k in range(30_000)]
+    rows += [(1, None, -1, "x", None), (3, 3, -2, None, None), (3, 3, -2, None, None)]
+    pixels = spark.createDataFrame(rows, "bin1_id long, bin2_id long, count long, name string, at timestamp").repartition(5)
+
+    def numbered_rows(frames):
+        n = 0
+        for frame in frames:
+            frame["nth"] = range(n, n + len(frame))
+            n += len(frame)
+            yield frame
+
+    out = over_stream(numbered_rows, "bin1_id long, bin2_id long, count long, name string, at timestamp, nth long")(pixels)
+    got = sorted(out.collect(), key=lambda r: r.nth)
+    assert [r.nth for r in got] == list(range(len(rows)))
+    key = lambda r: tuple((x is not None, x or 0) for x in r[:2])
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(rows, key=key)]
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, rows))
+    single = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in x and "false" in x)
+    assert "__range" in single and "__nth" in single and "bin1_id" not in single
+    assert "rangepartitioning(bin1_id" in executed(out)
+
+
+def test_a_stream_without_pixels(spark):
+    none = spark.createDataFrame([], "bin1_id long, bin2_id long, count long")
+    assert over_stream(lambda frames: frames, none.schema)(none).count() == 0
