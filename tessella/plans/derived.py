@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.tables import BinTable, PixelTable
 from ..sources.frames import with_index
+from ..sources.workdir import file_count
 
 SIZE = 10_000
+#: Bytes of order lines, as a scan of their columns counts them, for each task that pairs lines or counts pairs.
+TASK_BYTES = 2 << 20
 
 
 def bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,10 +23,13 @@ def bins(spark: SparkSession, sf: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
+    tasks = file_count(items, TASK_BYTES)  # fixed counts: else few tasks are made of many small partitions, and each grows with the input
     placed = items.join(F.broadcast(bins(spark, sf).select("bin_id", "s_suppkey")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "bin_id")
+    placed = placed.repartition(tasks, "l_orderkey")
     x, y = placed.alias("x"), placed.alias("y")
     met = x.join(y, F.expr("x.l_orderkey = y.l_orderkey and x.l_linenumber < y.l_linenumber"))
-    return met.groupBy(F.least("x.bin_id", "y.bin_id").alias("bin1_id"), F.greatest("x.bin_id", "y.bin_id").alias("bin2_id")).agg(F.count(F.lit(1)).alias("count"))
+    pairs = met.select(F.least("x.bin_id", "y.bin_id").alias("bin1_id"), F.greatest("x.bin_id", "y.bin_id").alias("bin2_id"))
+    return pairs.repartition(tasks, "bin1_id", "bin2_id").groupBy("bin1_id", "bin2_id").agg(F.count(F.lit(1)).alias("count"))
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import re
 import uuid
 
 import numpy as np
@@ -17,6 +18,7 @@ from tessella.operators.levels import dense_levels, kept_levels
 from tessella.operators.matrix import complete_matrix
 from tessella.operators.strategies import over_stream
 from tessella.operators.tables import BinTable, PixelTable
+from tessella.plans import derived
 from tessella.plans.plotdata import MODALITIES, BinClusters, BinTrack, comparison_data, infer_track, style_width, table_data
 from tessella.sources.dataset import replace_table
 from tessella.sources.frames import as_frame, convert
@@ -427,3 +429,16 @@ def test_one_task_of_a_stream_sorts_blocks_not_pixels(spark):
 def test_a_stream_without_pixels(spark):
     none = spark.createDataFrame([], "bin1_id long, bin2_id long, count long")
     assert over_stream(lambda frames: frames, none.schema)(none).count() == 0
+
+
+def test_tasks_of_derived_pixels_grow_in_number_with_the_lines(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    few, rows = derived.pixels(spark, sf), derived.pixels(spark, sf).count()
+    monkeypatch.setattr(derived, "TASK_BYTES", derived.TASK_BYTES // 256)
+    many = derived.pixels(spark, sf)
+    size = derived.file_count(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey"), derived.TASK_BYTES)
+    assert size > 20 and many.count() == rows
+    for df, n in ((few, 8), (many, size)):
+        plan = executed(df)
+        for key in ("l_orderkey", "bin1_id"):
+            assert re.search(rf"hashpartitioning\({key}#[^)]*, {n}\), REPARTITION_BY_NUM", plan), (key, n, plan)
