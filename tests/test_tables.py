@@ -18,7 +18,7 @@ from tessella.operators.levels import dense_levels, kept_levels
 from tessella.operators.matrix import complete_matrix
 from tessella.operators.strategies import over_stream
 from tessella.operators.tables import BinTable, PixelTable
-from tessella.plans import derived
+from tessella.plans import derived, registry
 from tessella.plans.plotdata import MODALITIES, BinClusters, BinTrack, comparison_data, infer_track, style_width, table_data
 from tessella.sources.dataset import replace_table
 from tessella.sources.frames import as_frame, convert
@@ -442,3 +442,12 @@ def test_tasks_of_derived_pixels_grow_in_number_with_the_lines(spark, monkeypatc
         plan = executed(df)
         for key in ("l_orderkey", "bin1_id"):
             assert re.search(rf"hashpartitioning\({key}#[^)]*, {n}\), REPARTITION_BY_NUM", plan), (key, n, plan)
+
+
+@pytest.mark.parametrize("name", ["pix_annotation_left"])
+def test_joins_by_pixel_have_as_many_tasks_as_the_lines_ask_for(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(derived, "TASK_BYTES", derived.TASK_BYTES // 256)
+    size = derived.file_count(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey"), derived.TASK_BYTES)
+    found = re.findall(r"hashpartitioning\(bin1_id#[^)]*, (\d+)\)", executed(registry.QUERIES[name](spark, sf)))
+    assert size > 20 and found and set(found) == {str(size)}
