@@ -444,7 +444,7 @@ def test_tasks_of_derived_pixels_grow_in_number_with_the_lines(spark, monkeypatc
             assert re.search(rf"hashpartitioning\({key}#[^)]*, {n}\), REPARTITION_BY_NUM", plan), (key, n, plan)
 
 
-@pytest.mark.parametrize("name", ["pix_annotation_left", "graph_edges_with_links"])
+@pytest.mark.parametrize("name", ["pix_annotation_left", "graph_edges_with_links", "written_back_edges"])
 def test_joins_by_pixel_have_as_many_tasks_as_the_lines_ask_for(spark, monkeypatch, name):
     sf = "/root/testdata/sf0.01"
     monkeypatch.setattr(derived, "TASK_BYTES", derived.TASK_BYTES // 256)
